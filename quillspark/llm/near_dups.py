@@ -14,8 +14,9 @@ above.
 
 Buckets (keys with their members) may be large. A bucket of two is one candidate pair.
 A larger one is first tied to one leader, the member that meets most others over all
-buckets; what is then in one component needs no more pairs. Only pairs that still lie in
-different components are looked at, first against further leaders, at last all of them.
+buckets; what is then in one component needs no more pairs. All pairs of a bucket that
+still lie in different components are compared block against block; no row is made for a
+pair unless it is linked.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ class Params:
     hashes: int = 80
     chunks: int = 16
     max_distance: int = 31
-    leader_rounds: int = 3
     seed: int = 20_240_601
 
 
@@ -62,6 +62,10 @@ def _symbols(own: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return (best >> np.uint32(16)).astype(np.uint16)
 
 
+def _sid(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _family(p: Params) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     return rng.integers(0, 1 << 32, p.hashes, np.uint32), rng.integers(0, 1 << 31, p.hashes, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -77,7 +81,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFr
             sets = shingle_sets(Words(batch.column("text"), SPACED), p.shingle)
             sid, sig = [], []
             for own in sets:
-                sid.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None)
+                sid.append(_sid(own) if len(own) else None)
                 sig.append(_symbols(own, xor, mul).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())],
@@ -174,37 +178,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _ordered(buckets.where("c = 2").select("x", "y").unionByName(members.join(leaders, "key").select(F.col("sid").alias("x"), "y")))
 
     close = written(_close(pairs, sets, p), "nd-close")
-    texts = written(_texts(close, docs, sets, id_col, text_col, p), "nd-texts")
+    need = close.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
+    texts = written(_texts(need, docs, sets, id_col, text_col, p), "nd-texts")
     links = written(_confirmed(close, texts, p), "nd-links")
     shared = _shared_ids(rows)
     release(buckets)
 
-    rounds = 1
-    while True:
-        edges = links.unionByName(shared)
-        labels = components(edges)
-        at = members.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-        open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = written(at.join(open_keys, "key"), "nd-rest")
-        if rest.isEmpty():
-            release(rest)
-            break
-        rounds += 1
-        if rounds <= p.leader_rounds:
-            top = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("sid", F.lit(rounds)).alias("h"), "sid", "label")).alias("top"))
-            other = top.select("key", F.col("top.sid").alias("y"), F.col("top.label").alias("other"))
-        else:
-            other = rest.select("key", F.col("sid").alias("y"), F.col("label").alias("other"))
-        fresh = _ordered(rest.join(other, "key").where("label <> other" if rounds <= p.leader_rounds else "label < other").select(F.col("sid").alias("x"), "y"))
-        tried = close.select("a", "b")
-        more_close = written(_close(fresh.join(tried, ["a", "b"], "left_anti"), sets, p), "nd-close")
-        more_texts = written(_texts(more_close, docs, sets, id_col, text_col, p), "nd-texts")
-        more = written(_confirmed(more_close, more_texts, p), "nd-links")
-        release(rest, more_texts)
-        links, close = links.unionByName(more), close.unionByName(more_close)
-        if rounds > p.leader_rounds:
-            labels = components(links.unionByName(shared))
-            break
+    labels = components(links.unionByName(shared))
+    at = members.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", "c", F.coalesce("label", "sid").alias("label"))
+    apart = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    tasks = written(_open_pairs(at.join(apart, "key"), sets, p), "nd-tasks")
+    more = written(_confirmed_tasks(tasks, texts, p), "nd-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more).unionByName(shared))
+    release(members, tasks, texts, close)
 
     named = sets.select("sid", "id").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -223,15 +210,146 @@ def _shared_ids(rows: DataFrame) -> DataFrame:
     return own.join(several, "id").where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct()
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """``(sid, text)`` of the sets in ``pairs``; of a repeated id the rows with that set."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "id"), "sid")
+def _texts(need: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+    """``(sid, text)`` of the sets in ``need``; of a repeated id the rows with that set."""
+    need = need.join(sets.select("sid", "id"), "sid")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = shingle_sets(Words(batch.column("text"), SPACED), p.shingle)
-            digest = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else 0 for x in found]
+            digest = [_sid(x) if len(x) else 0 for x in found]
             yield batch.filter(pa.array(np.array(digest, np.int64) == batch.column("sid").to_numpy()))
 
     return rows.join(need, "id").select("sid", "text").mapInArrow(own, "sid long, text string").dropDuplicates(["sid"])
+
+
+#: Members of a bucket that are compared in one step, on average.
+BLOCK = 512
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``column`` (the input is sorted by it), one run at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[0].column(column)[0].as_py() != ids[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(rest: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Pairs that a key holds, lie in different components and may be linked: ``(task, sids,
+    pairs)``, a row for each block of a bucket against another. A bucket of c members is dealt
+    to c / BLOCK blocks by hash, and each two of them meet once. A pair that shares several
+    keys is listed under the first of them only."""
+    edges = np.linspace(0, p.hashes, p.chunks + 1).astype(int)
+    blanks = p.max_distance // p.chunks
+    plan = [(a, b, c) for a, b in zip(edges, edges[1:]) for c in combinations(range(a, b), blanks)]
+    salts = np.arange(p.hashes, dtype=np.uint64) << np.uint64(20)
+
+    def first_shared(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
+        """Whether ``key`` is the first key that the signatures share, row by row."""
+        differ = x != y
+        inside = [differ[:, a:b].sum(axis=1) for a, b in zip(edges, edges[1:])]
+        open_, own = np.ones(len(x), bool), np.zeros(len(x), bool)
+        for k, (a, b, blank) in enumerate(plan):
+            shares = open_ & (inside[int(np.searchsorted(edges, a, side="right")) - 1] - differ[:, list(blank)].sum(axis=1) == 0)
+            if shares.any():
+                at = np.flatnonzero(shares)
+                terms = mix(x[at, a:b].astype(np.uint64) + salts[a:b])
+                skip = mix(x[at][:, list(blank)].astype(np.uint64) + salts[list(blank)]).sum(axis=1)
+                own[at] = mix(terms.sum(axis=1) - skip + np.uint64(k)).view(np.int64) == key
+                open_[at] = False
+        return own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "task"):
+            sig, label, n, block, sid = (_matrix(rows.column("sig").combine_chunks(), p), *(rows.column(c).to_numpy() for c in ("label", "n", "block", "sid")))
+            key, low = rows.column("key")[0].as_py(), rows.column("low")[0].as_py()
+            left = np.flatnonzero(block == low)
+            right = np.flatnonzero(block != low) if (block != low).any() or rows.column("high")[0].as_py() != low else left
+            found_a, found_b = [], []
+            for i in left.tolist():
+                j = right[(label[right] != label[i]) & ((sid[right] > sid[i]) | (block[right] != low))]
+                j = j[p.den * np.minimum(n[i], n[j]) >= p.num * np.maximum(n[i], n[j])]
+                if len(j):
+                    j = j[(sig[j] != sig[i]).sum(axis=1) <= p.max_distance]
+                if len(j):
+                    found_a.append(np.full(len(j), i))
+                    found_b.append(j)
+            if found_a:
+                every_a, every_b = np.concatenate(found_a), np.concatenate(found_b)
+                first = np.concatenate([first_shared(sig[every_a[k : k + 8192]], sig[every_b[k : k + 8192]], key) for k in range(0, len(every_a), 8192)])
+                found_a, found_b = [every_a[first]], [every_b[first]]
+            if found_a and sum(map(len, found_a)):
+                both = np.concatenate([*found_a, *found_b])
+                used, at = np.unique(both, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("task").slice(0, 1).combine_chunks(), pa.array([sid[used].tolist()], pa.list_(pa.int64())), pa.array([at.astype(np.int32).tobytes()], pa.binary())],
+                    ["task", "sids", "pairs"],
+                )
+
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = dealt.withColumn("task", F.xxhash64("key", "low", "high"))
+    dealt = dealt.join(sets.select("sid", F.col("n_shingles").alias("n"), "sig"), "sid")
+    by_task = dealt.select("task", "key", "low", "high", "block", "sid", "label", "n", "sig").repartition("task").sortWithinPartitions("task")
+    return by_task.mapInArrow(run, "task long, sids array<long>, pairs binary")
+
+
+def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links among the pairs of ``tasks``; each text is read once for each task it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "task"):
+            texts_at = rows.filter(rows.column("pairs").is_null())
+            sets = {}
+            for part in slices(iter(texts_at.to_batches()), "text"):
+                sets.update(zip(part.column("sid").to_pylist(), shingle_sets(Words(part.column("text"), SPACED), p.shingle)))
+            links_a, links_b = [], []
+            for row in rows.filter(rows.column("pairs").is_valid()).select(["sids", "pairs"]).to_pylist():
+                at = np.frombuffer(row["pairs"], np.int32)
+                left, right = at[: len(at) // 2], at[len(at) // 2 :]
+                own = [sets[s] for s in row["sids"]]
+                size = np.array([len(x) for x in own])
+                shared = _shared(own, left, right)
+                linked = p.den * shared >= p.num * (size[left] + size[right] - shared)
+                names = np.array(row["sids"])
+                links_a.append(names[left[linked]])
+                links_b.append(names[right[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(links_a)), pa.array(np.concatenate(links_b))], ["a", "b"])
+
+    wanted = tasks.select("task", F.explode("sids").alias("sid")).join(texts, "sid").select("task", "sid", "text", F.lit(None).cast("binary").alias("pairs"), F.lit(None).cast("array<long>").alias("sids"))
+    lists = tasks.select("task", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("string").alias("text"), "pairs", "sids")
+    return wanted.unionByName(lists).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def _shared(own: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of own[left] and own[right]; work by ranges of hashes keeps
+    the incidence matrix small however long the sets are."""
+    values = np.concatenate(own)
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    names, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], dense[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(own), len(own)), np.float32)
+    step = max(1, (16 << 20) // max(len(own), 1) // 4)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [a, a + step])
+        m = np.zeros((len(own), min(step, int(column[-1]) + 1 - a)), np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        out += m @ m.T
+    return np.rint(out[left, right]).astype(np.int64)
