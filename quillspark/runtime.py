@@ -1,4 +1,4 @@
-"""Makes this package importable on the executors."""
+"""Readies a session: the package's source on the executors, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows and bytes of an Arrow batch. Long texts make batches of the default 10,000 rows
+#: take hundreds of MB in each task, twice: in the JVM and in its Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 
 def ship(spark: SparkSession) -> None:
     """Sends the package's source to the executors, once for each application.
@@ -17,6 +21,8 @@ def ship(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so the workers must be
     able to import this package; ``addPyFile`` gives it to present and later executors.
     """
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
