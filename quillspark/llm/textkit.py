@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-_PIECE = 1 << 20
+SLICE_BYTES = 1 << 20
+_PIECE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = np.uint64(0xD1B54A32D192ED03 | 1)
