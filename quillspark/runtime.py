@@ -12,7 +12,12 @@ _shipped: set[str] = set()
 
 #: Rows and bytes of an Arrow batch. Long texts make batches of the default 10,000 rows
 #: take hundreds of MB in each task, twice: in the JVM and in its Python worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    # Shuffle files of an ended action go at once; what is used again is written out first.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so the workers must be
     able to import this package; ``addPyFile`` gives it to present and later executors.
     """
-    for key, value in BATCH.items():
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
