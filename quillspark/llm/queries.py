@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dups
+from . import decontaminate, near_dups, token_files
 from .store import table
 
 
@@ -55,3 +55,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+    return read.withColumnRenamed("value", "ids_crc32")
+
+
+QUERIES["op6_token_binary_output"] = op6_token_binary_output
