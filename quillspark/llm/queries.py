@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dups, token_files
+from . import archive, decontaminate, mixture, near_dups, token_files
 from .store import table
 
 
@@ -72,3 +72,43 @@ def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_token_binary_output"] = op6_token_binary_output
+
+
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_warc_archive"] = op7_warc_archive
+ORACLE["op7_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex,
+  max(page_id) OVER (PARTITION BY sha256(html)) AS owner FROM p)
+SELECT page_id, payload_bytes,
+  translate(concat(""" + ", ".join(f"to_base(CAST('0x' || substr(hex, {5 * k + 1}, 5) AS BIGINT), 32, 4)" for k in range(8)) + """),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM h
+"""
+
+
+#: The production mixture: domains from the number of a source, then language, then source.
+def mixture_levels() -> dict:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)")
+    domain = F.when(number < 5, "web").when(number < 10, "books").when(number < 15, "code").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIXTURE_WEIGHTS = {
+    "domain": {"web": 0.4, "books": 0.3, "code": 0.2, "forum": 0.1},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "source": {"src0": 2.0, "src7": 0.5},
+}
+MIXTURE_SHARE, MIXTURE_EPOCHS = 0.6, 2
+
+
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), mixture_levels(), MIXTURE_WEIGHTS, MIXTURE_SHARE, MIXTURE_EPOCHS)
+
+
+QUERIES["op2_source_mixture"] = op2_source_mixture

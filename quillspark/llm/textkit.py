@@ -78,6 +78,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(a, b - a)
 
 
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces buf[start[i]:end[i]], which ascend and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    longest = int((end - start).max(initial=1))
+    size = max(_PIECE, longest) + 1
+    up, down = powers(_P, size), powers(_PINV, size)
+    i = 0
+    while i < len(out):
+        a = start[i]
+        j = max(i + 1, int(np.searchsorted(end, a + size - 1, side="right")))
+        b = end[j - 1]
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
+        s = start[i:j] - a
+        out[i:j] = (total[end[i:j] - a] - total[s]) * down[s]
+        i = j
+    return mix(out)
+
+
 class Words:
     """Words of a column: ``start``, ``end`` (byte positions in ``buf``), ``hash`` (64 bits
     each) and ``first`` (n + 1 positions, those of row i are first[i]:first[i + 1])."""
@@ -101,24 +120,7 @@ class Words:
         self.start = np.flatnonzero(left)
         self.end = np.flatnonzero(right) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.hash = self._hashes() if hashed else None
-
-    def _hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        longest = int((self.end - self.start).max(initial=1))
-        size = max(_PIECE, longest) + 1
-        up, down = powers(_P, size), powers(_PINV, size)
-        i = 0
-        while i < len(out):
-            a = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, a + size - 1, side="right")))
-            b = self.end[j - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((self.buf[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
-            s = self.start[i:j] - a
-            out[i:j] = (total[self.end[i:j] - a] - total[s]) * down[s]
-            i = j
-        return mix(out)
+        self.hash = hashes(self.buf, self.start, self.end) if hashed else None
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()

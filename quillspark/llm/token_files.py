@@ -26,64 +26,130 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .store import release, scratch, written
-from .textkit import SPACED, Words, slices
+from .textkit import hashes, slices, strings
 
 MAGIC = b"QTOK1\0\0\0"
 _HEAD = struct.Struct("<8sQQQIIII")
 FILE_TOKENS = 2 << 20
 BLOCK_TOKENS = 256 << 10
 PARTITION_BYTES = 16 << 20
-CACHE_WORDS = 400_000
+CACHE_PIECES = 1_500_000
+
+
+#: Classes of bytes for :func:`pieces`.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[0x27, 0x3C]] = _ODD
+
+
+def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the pieces of texts that the tokenizer treats one by one, and whether
+    each is a run of letters.
+
+    Texts are split at ASCII white space. A chunk of ASCII (without ' and <, which begin
+    contractions and special tokens) and Latin-1 letters is split further, into runs of
+    letters, single digits and runs of other characters. Any other chunk is one piece.
+    """
+    kind = _KIND[buf]
+    lead = buf == 0xC3
+    if lead.any():
+        at = np.flatnonzero(lead[:-1])
+        follow = buf[at + 1]
+        at = at[(follow >= 0x80) & (follow != 0x97) & (follow != 0xB7)]
+        kind[at] = kind[at + 1] = _LETTER
+    n = len(kind)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    space = kind == _SPACE
+    chunk = ~space
+    chunk[1:] &= space[:-1] | edge[1:n]
+    start = np.flatnonzero(chunk)
+    odd = np.zeros(len(start) + 1, bool)
+    odd[np.searchsorted(start, np.flatnonzero(kind == _ODD), side="right") - 1] = True
+    number = np.cumsum(chunk) - 1
+    split = np.zeros(n, bool)
+    split[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begin = chunk | (split & ~space & ~odd[number])
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return starts, starts, np.zeros(0, bool)
+    stop = np.zeros(n + 1, bool)
+    stop[starts] = stop[n] = True
+    stop[:n] |= space
+    stop |= edge
+    stops = np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, side="right")]
+    return starts, ends, (kind[starts] == _LETTER) & ~odd[number[starts]]
 
 
 class Encoder:
-    """Ids of whole texts by a library tokenizer that works on white-space-separated words
-    one by one (its pre-tokens never cross ASCII white space). Each distinct word goes
-    through the library once; up to CACHE_WORDS of them are remembered."""
+    """Ids of whole texts by a library tokenizer whose pre-tokens follow :func:`pieces`.
+
+    Each distinct piece goes through the library once, until CACHE_PIECES of them are known;
+    then the memory is cleared. Runs of letters, lower-cased, skip the library's normalizer
+    and its splitting, which leave them as they are.
+    """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
+        self.full, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self._reset()
 
     def _reset(self) -> None:
-        self.known.clear()
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
-        for encoding, h in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), hashes):
-            ids = encoding.ids
-            k = len(self.known)
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = k
+        self.names = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _learn(self, names: np.ndarray, words: list[bytes], letters: np.ndarray) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids: list[list[int]] = [[]] * len(texts)
+        for tokenizer, which in ((self.letters, np.flatnonzero(letters)), (self.full, np.flatnonzero(~letters))):
+            own = [texts[i].lower() if letters[i] else texts[i] for i in which.tolist()]
+            for i, encoding in zip(which.tolist(), tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+                ids[i] = encoding.ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(size.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used) + 1, np.uint32)])
+        self.pool[self.used : self.used + total] = np.fromiter((x for own in ids for x in own), np.uint32, total)
+        place = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, place, names)
+        self.start = np.insert(self.start, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and how many each row has."""
-        words = Words(texts, SPACED, lower=False)
-        if not len(words.hash):
+        buf, offsets = strings(texts)
+        starts, ends, letters = pieces(buf, offsets)
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        names, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        named = hashes(buf, starts, ends)
+        names, first, at = np.unique(named, return_index=True, return_inverse=True)
+        if len(self.names) > CACHE_PIECES:
             self._reset()
-        fresh = [(h, i) for h, i in zip(names.tolist(), first.tolist()) if h not in self.known]
-        if fresh:
-            self._learn([words.word(i).decode("utf-8", "replace") for _, i in fresh], [h for h, _ in fresh])
-        place = np.array([self.known[h] for h in names.tolist()])[at]
+        known = np.zeros(len(names), bool)
+        if len(self.names):
+            known = self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] == names
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            i = first[fresh]
+            raw = buf.tobytes()
+            self._learn(names[fresh], [raw[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())], letters[i])
+        place = np.searchsorted(self.names, names)[at]
         size = self.size[place]
-        ends = np.cumsum(size)
-        spots = np.arange(ends[-1]) + np.repeat(self.start[place] - (ends - size), size)
-        bounds = np.concatenate([[0], ends])[words.first]
+        stops = np.cumsum(size)
+        spots = np.arange(stops[-1]) + np.repeat(self.start[place] - (stops - size), size)
+        bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
         return self.pool[spots], np.diff(bounds)
 
 
@@ -149,9 +215,14 @@ def _frequencies(groups: DataFrame) -> np.ndarray:
     """Counts by id over the corpus: as many rows as the vocabulary has come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
             for ids, counts in zip(batch.column("doc_ids").to_pylist(), batch.column("ids").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], ["id", "n"])
+                at = np.frombuffer(ids, "<i8")
+                total = np.pad(total, (0, max(0, int(at[-1]) + 1 - len(total))))
+                total[at] += np.frombuffer(counts, "<i8")
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     rows = groups.where("seq = -1").select("doc_ids", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
