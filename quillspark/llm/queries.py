@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, mixture, near_dups, token_files
+from . import archive, decontaminate, fingerprint, mixture, near_dups, token_files
 from .store import table
 
 
@@ -112,3 +112,10 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_source_mixture"] = op2_source_mixture
+
+
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_imatch_fingerprints"] = op3_imatch_fingerprints
