@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, fingerprint, mixture, near_dups, token_files
+from . import archive, decontaminate, fingerprint, language, mixture, near_dups, token_files
 from .store import table
 
 
@@ -119,3 +119,18 @@ def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_imatch_fingerprints"] = op3_imatch_fingerprints
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from the labelled two thirds of the documents."""
+    return language.train(docs.where(language.remainder("doc_id", 3) != 1), "text", "lang")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language_model(docs))
+    held_out = F.coalesce(language.remainder("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+QUERIES["op4_language_id"] = op4_language_id
