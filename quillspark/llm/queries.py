@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, fingerprint, language, mixture, near_dups, token_files
+from . import archive, decontaminate, fingerprint, language, mixing_lm, mixture, near_dups, token_files
 from .store import table
 
 
@@ -134,3 +134,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_language_id"] = op4_language_id
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_lm.score(docs, language.remainder("doc_id", 7) != 2)
+
+
+QUERIES["op9_lm_scoring"] = op9_lm_scoring
