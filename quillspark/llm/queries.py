@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, fingerprint, language, mixing_lm, mixture, near_dups, token_files
+from . import archive, decontaminate, fingerprint, language, licenses, mixing_lm, mixture, near_dups, quality, token_files
 from .store import table
 
 
@@ -142,3 +142,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_lm_scoring"] = op9_lm_scoring
+
+
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).drop("text", "source", "lang")
+
+
+def document_path():
+    """Where a document lies: source, language, and for two thirds a folder more."""
+    folder = F.when(F.pmod("doc_id", F.lit(3)) != 0, F.concat(F.lit("d"), F.pmod("doc_id", F.lit(10)).cast("string")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("xx")), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"), document_path())
+
+
+QUERIES["op5_quality_cotraining"] = op5_quality_cotraining
+QUERIES["op8_license_scan"] = op8_license_scan
