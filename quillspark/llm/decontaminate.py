@@ -144,17 +144,25 @@ SHARE = 20
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", remove: str = "documents", share: int = SHARE, **args) -> DataFrame:
-    """``docs`` without contaminated rows (``remove="documents"``: where ``share * hits`` is
-    ``words`` or more), or with the hit spans cut out of all texts (``remove="spans"``). The
-    columns of ``docs`` are kept as they are."""
+    """``docs`` without what it shares with the benchmark, columns as they are.
+
+    ``remove="documents"`` drops rows where ``share * hits`` is ``words`` or more; ``"spans"`` cuts
+    the hit spans out of all texts; ``"both"`` drops those rows and cuts the spans of the others.
+    Rows without hits are untouched; n_chars, if there, follows a cut text.
+    """
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError(f"remove is 'documents', 'spans' or 'both', not {remove!r}")
     found = scan(docs, benchmark, text_col, **args)
-    if remove == "documents":
-        return found.where(~((F.col("bench_hits") > 0) & (share * F.col("bench_hits") >= F.col("bench_words")))).select(*docs.columns)
     if remove != "spans":
-        raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
+        found = found.where(~((F.col("bench_hits") > 0) & (share * F.col("bench_hits") >= F.col("bench_words"))))
+    if remove == "documents":
+        return found.select(*docs.columns)
     bytes_ = F.encode(text_col, "utf-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("bench_spans.end"))
     ends = F.concat(F.col("bench_spans.start"), F.array(F.octet_length(text_col).cast("long")))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(bytes_.substr((x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "utf-8"))
-    cut = F.when(F.size("bench_spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cut).select(*docs.columns)
+    hit = F.size("bench_spans") > 0
+    out = found.withColumn(text_col, F.when(hit, F.array_join(pieces, "")).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
