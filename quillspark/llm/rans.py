@@ -76,8 +76,9 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
         words.append(out)
         behind += len(out)
         x[full] >>= np.uint64(32)
-        q, r = np.divmod(x, f)
-        x = (q << np.uint64(SCALE)) + r + start[s]
+        q = x // f
+        x += start[s]
+        x += q * ((np.uint64(1) << np.uint64(SCALE)) - f)
         if s % CHECKPOINT == 0:
             marks.append((behind, x.copy()))
     marks.reverse()

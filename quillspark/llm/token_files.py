@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ _HEAD = struct.Struct("<8sQQQIIII")
 FILE_TOKENS = 2 << 20
 BLOCK_TOKENS = 256 << 10
 PARTITION_BYTES = 16 << 20
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 
 
 #: Classes of bytes for :func:`pieces`.
@@ -98,11 +99,16 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.full, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.plain = (None, ByteLevel(add_prefix_space=False, use_regex=False))
         self._reset()
 
+    def _batch(self, texts: list[str], letters: bool) -> list[list[int]]:
+        """Ids of each text. One tokenizer serves both kinds, its steps are exchanged."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain if letters else self.steps
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _reset(self) -> None:
         self.names = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
@@ -112,15 +118,17 @@ class Encoder:
     def _learn(self, names: np.ndarray, words: list[bytes], letters: np.ndarray) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         ids: list[list[int]] = [[]] * len(texts)
-        for tokenizer, which in ((self.letters, np.flatnonzero(letters)), (self.full, np.flatnonzero(~letters))):
-            own = [texts[i].lower() if letters[i] else texts[i] for i in which.tolist()]
-            for i, encoding in zip(which.tolist(), tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                ids[i] = encoding.ids
+        for kind in (True, False):
+            which = np.flatnonzero(letters == kind).tolist()
+            for k in range(0, len(which), 8192):
+                part = which[k : k + 8192]
+                for i, found in zip(part, self._batch([texts[i].lower() if kind else texts[i] for i in part], kind)):
+                    ids[i] = found
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used) + 1, np.uint32)])
-        self.pool[self.used : self.used + total] = np.fromiter((x for own in ids for x in own), np.uint32, total)
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         place = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, place, names)
         self.start = np.insert(self.start, place, self.used + np.cumsum(size) - size)
@@ -182,9 +190,9 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
 
         def group() -> pa.RecordBatch:
             ids = np.concatenate(held_ids)
-            return row(seq, before, np.concatenate(held_docs).astype("<i8").tobytes(), np.concatenate(held_sizes).astype("<u4").tobytes(), zlib.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1), len(ids))
+            return row(seq, before, np.concatenate(held_docs).astype("<i8").tobytes(), np.concatenate(held_sizes).astype("<u4").tobytes(), ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes(), len(ids))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, sizes = coder.encode(batch.column("text"))
             ends = np.cumsum(sizes)
             all_ids = np.insert(ids, ends, end_id)
@@ -258,9 +266,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     release(groups)
 
 
-def pack(doc_ids: bytes, sizes: bytes, planes: bytes, start: int, shared: bytes, model: rans.Table) -> bytes:
-    ids = np.frombuffer(zlib.decompress(planes), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def pack(doc_ids: bytes, sizes: bytes, raw: bytes, start: int, shared: bytes, model: rans.Table) -> bytes:
     ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+    ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * ends[-1] else "<u4")
     cuts, at = [0], 0
     while at < len(ids):
         at = int(ends[min(np.searchsorted(ends, at + BLOCK_TOKENS), len(ends) - 1)])
