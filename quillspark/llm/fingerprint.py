@@ -68,7 +68,7 @@ def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND
 
 def prints(texts: list[str], known: np.ndarray) -> np.ndarray:
     """Hashes of each text, [texts, SALTS * LEVELS], 0 where a subset holds none of its terms.
-    A text without any term of the lexicon has hashes of its whole self instead."""
+    A text of which no subset holds a term has hashes of its whole self instead."""
     words = Words(pa.array(texts, pa.large_string()), ALNUM)
     row, term = _distinct(words)
     if len(known):
@@ -86,7 +86,7 @@ def prints(texts: list[str], known: np.ndarray) -> np.ndarray:
         out[:, salt] = np.cumsum(sums[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1][:, 1:]
     flat = out.reshape(len(texts), -1)
     flat = np.where(flat == 0, np.uint64(0), (mix(flat) >> np.uint64(40)) | np.uint64(1))
-    for i in np.flatnonzero(np.bincount(row, minlength=len(texts)) == 0).tolist():
+    for i in np.flatnonzero(~flat.any(axis=1)).tolist():
         seed = int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         flat[i] = (mix(np.arange(1, SALTS * LEVELS + 1, dtype=np.uint64) * np.uint64(seed | 1)) >> np.uint64(40)) | np.uint64(1)
     return flat

@@ -225,7 +225,7 @@ def _texts(need: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_
 
 
 #: Members of a bucket that are compared in one step, on average.
-BLOCK = 512
+BLOCK = 2048
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
