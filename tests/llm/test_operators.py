@@ -439,17 +439,59 @@ def test_lm_base_and_model(spark, docs, rows, none):
     assert mixing_lm.score(none, train).count() == 0
 
 
-def test_lm_is_a_distribution():
-    """Over all continuations of a short text, each symbol's probabilities add up to one."""
+def _small_lm(names: list[bytes]) -> mixing_lm.Model:
     rng = np.random.default_rng(3)
-    code = mixing_lm.Code(rng.integers(0, 100, 257))
-    tables = [rng.integers(-160, 160, 1 << b).astype(np.int16) * 4 + 1 for b in mixing_lm.SLOTS]
-    model = mixing_lm.Model(code, tables, mixing_lm._start_weights())
-    texts = [b""] + [bytes([b]) for b in range(256) if not 65 <= b <= 90]
-    scores = model.mix(pa.array(texts, pa.binary()))[0]
-    ends = model.mix(pa.array([t + b"" for t in texts], pa.binary()))[0]
-    assert np.allclose(scores, ends)
-    assert sum(10.0 ** scores) < 1.0
+    hashed = mixing_lm.Words(pa.array([b" ".join(names)], pa.binary()), mixing_lm.SPACED).hash
+    codes = mixing_lm.Codes(hashed, rng.integers(2, 100, len(names)), 7, 9, rng.integers(0, 100, 257))
+    tables = [(rng.integers(-40, 40, 1 << mixing_lm.SLOTS) * 4 + rng.integers(0, 4, 1 << mixing_lm.SLOTS)).astype(np.int16) for _ in range(2)]
+    return mixing_lm.Model(codes, tables, rng.uniform(0, 1, (mixing_lm.GATES, mixing_lm.INPUTS)))
+
+
+def test_lm_is_a_distribution():
+    """The codes are complete and a text's probability is the product of plainly mixed decisions."""
+    names = [f"w{k}".encode() for k in range(40)]
+    model = _small_lm(names)
+    for code in (model.codes.words, model.codes.letters):
+        assert sum(0.5 ** np.diff(code.first)) == 1.0
+        assert len({tuple(code.bit[a:b].tolist()) for a, b in zip(code.first, code.first[1:])}) == len(code.first) - 1
+    # Every text of at most one byte, and some of a word: no more than all probability.
+    texts = [b""] + [bytes([b]) for b in range(256) if not 65 <= b <= 90] + names + [b"w1 " + x for x in names]
+    assert sum(10.0 ** model.mix(mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes))[0]) < 1.0
+    # Against a plain, one-decision-at-a-time form.
+    texts = [b"w1 w2  zz w3\n", b"", b"  \t", b"\xc3\xa9 w1", b"w7 " * 300, b"zz"]
+    got = model.mix(mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes))[0]
+    for text, score in zip(texts, got):
+        tokens = mixing_lm.Tokens(pa.array([text], pa.binary()), model.codes)
+        total = model.codes.words.tail[tokens.symbol].sum()
+
+        def plain(made, k, scale):
+            b, c = (int(t[slot[k]]) for t, slot in zip(model.tables, made.slots))
+            sign = 2.0 * made.bit[k] - 1
+            return [w * x * s * sign for w, x, s in zip(model.weights[16 * made.sort[k] + 4 * (b & 3) + (c & 3)], (made.odds[k], (b >> 2) / 16, (c >> 2) / 16), scale)]
+
+        for u in tokens.used:
+            made = tokens.spelled(model.codes, u, u + 1)
+            total -= sum(math.log1p(math.exp(-max(-12, min(12, sum(plain(made, k, [1] * 3)))))) for k in range(len(made.bit)))
+        for a in range(0, len(tokens.symbol), mixing_lm.LANE):
+            made = tokens.decisions(model.codes, a, min(a + mixing_lm.LANE, len(tokens.symbol)))
+            scale, step = [1.0] * 3, [0.0] * 3
+            for k in range(len(made.bit)):
+                if k % mixing_lm.STEP == 0:
+                    scale, step = [s + mixing_lm.RATE * g for s, g in zip(scale, step)], [0.0] * 3
+                x = plain(made, k, [1] * 3)
+                z = max(-12, min(12, sum(s * v for s, v in zip(scale, x))))
+                total -= math.log1p(math.exp(-z))
+                step = [g + v / (1 + math.exp(z)) for g, v in zip(step, x)]
+        assert math.isclose(total / math.log(10), score, rel_tol=1e-4)
+
+
+def test_lm_spells_what_a_token_does_not_say():
+    """Unusual white space and words outside the code are spelled, each distinct one once."""
+    model = _small_lm([b"w1", b"w2"])
+    tokens = mixing_lm.Tokens(pa.array([b"w1 w2", b" w1\nzz  zz ", None, b"ZZ"], pa.binary()), model.codes)
+    assert tokens.odd.tolist() == [False] * 3 + [True, True, True, True] + [False] * 3
+    spelled = [(tokens.words.buf[a:b].tobytes(), int(n)) for a, b, n in zip(tokens.piece_start, tokens.piece_end, np.bincount(tokens.used))]
+    assert sorted(spelled) == [(b"\n", 1), (b" ", 2), (b"  ", 1), (b"zz", 3)]
 
 
 def test_lm_learns(spark):
