@@ -501,3 +501,26 @@ def test_lm_learns(spark):
     got = {r["doc_id"]: r for r in mixing_lm.score(docs, F.col("doc_id") < 150).collect()}
     bits = lambda r, n: -r["score"] * math.log2(10) / n
     assert sum(bits(got[k], 200) for k in range(150, 200)) / 50 < 1.6 < 4 < bits(got[1000], 130)
+
+
+def test_lm_mixes_every_decision(monkeypatch):
+    """Deep decisions of a rare word see the tables, and the factors are carried past 64 tokens."""
+    n = 6000
+    hashed = mixing_lm.Words(pa.array([" ".join(f"w{k}" for k in range(n))]), mixing_lm.SPACED).hash
+    codes = mixing_lm.Codes(hashed, np.where(np.arange(n) < 5, 10**6, 2), 7, 9, np.ones(257, np.int64))
+    depth = np.diff(codes.words.first)
+    tokens = mixing_lm.Tokens(pa.array(["w0 w5000"]), codes)
+    assert depth[tokens.symbol[1]] > 12
+    made = tokens.decisions(codes, 0, len(tokens.symbol))
+    assert len(made.bit) == (depth[tokens.symbol] + 1).sum()
+    tables = [np.zeros(1 << mixing_lm.SLOTS, np.int16) for _ in range(2)]
+    model = mixing_lm.Model(codes, tables, np.ones((mixing_lm.GATES, mixing_lm.INPUTS)))
+    before = model.mix(tokens)[0][0]
+    deep = np.flatnonzero((made.owner == 1) & (made.sort == mixing_lm.WORD))[12:]
+    tables[0][made.slots[0][deep]] = np.where(made.bit[deep] == 1, 160, -160) * 4 + 3
+    assert model.mix(tokens)[0][0] > before + 1
+    long, short = (mixing_lm.Tokens(pa.array(["w3 " * k]), codes) for k in (1280, 64))
+    carried, fresh = (model.mix(t)[0][0] for t in (long, short))
+    monkeypatch.setattr(mixing_lm, "RATE", 0.0)
+    flat_long, flat_short = (model.mix(t)[0][0] for t in (long, short))
+    assert carried - flat_long > 1.5 * 20 * (fresh - flat_short)
