@@ -524,3 +524,12 @@ def test_lm_mixes_every_decision(monkeypatch):
     monkeypatch.setattr(mixing_lm, "RATE", 0.0)
     flat_long, flat_short = (model.mix(t)[0][0] for t in (long, short))
     assert carried - flat_long > 1.5 * 20 * (fresh - flat_short)
+
+
+def test_lm_gives_bits_per_byte(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "né á  the"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mixing_lm.score(docs, F.lit(True)).collect()}
+    for k, text in ((1, "the cat sat"), (2, "né á  the"), (3, ""), (4, "")):
+        n, bits = len(text.encode()), -got[k]["score"] * math.log2(10)
+        assert got[k]["n_bytes"] == n and math.isclose(got[k]["total_bits"], bits)
+        assert math.isclose(got[k]["bits_per_byte"], bits / n if n else 0.0)
