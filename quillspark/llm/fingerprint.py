@@ -1,10 +1,11 @@
 """Document fingerprints after I-Match.
 
 Terms (runs of ASCII digits, letters and non-ASCII characters, A-Z lower-cased) are kept if
-their inverse document frequency lies in a band; a text's distinct kept terms are sorted and
+their inverse document frequency lies in a band (large groups of like texts weigh as one text where
+a term could be too frequent); a text's distinct kept terms are sorted and
 hashed once for each of SALTS x LEVELS randomised subsets of that lexicon. Level l of a salt
 keeps each term with probability 2^-l, so that for a text of any length some subsets hold a
-few of its terms and may survive an edit. Likeness is the share of equal hashes among the
+few of its terms and may survive an edit. A text without kept terms keeps all its terms. Likeness is the share of equal hashes among the
 subsets that hold a term of either text.
 """
 
@@ -27,6 +28,10 @@ SALTS, LEVELS = 8, 10
 #: terms a document the lexicon has at most 4000 d entries, whatever the number of documents.
 IDF_BAND = (math.log(10), math.log(4000))
 PARTITION_BYTES = 12 << 20
+#: Minima of a text's terms that like texts share, and the share of rows from which a group of them
+#: weighs as one text: there are at most 1 / LARGE of these groups.
+MINIMA, LARGE = 4, 1e-3
+_ONE = 1 << 30
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -40,43 +45,91 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], term[keep]
 
 
-def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND) -> np.ndarray:
-    """Sorted hashes of the terms in the band, counted over all rows (null: no terms)."""
+def _signs(row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of the MINIMA of each row's distinct terms (0: none)."""
+    out = np.zeros(rows, np.uint64)
+    if len(row):
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        own = np.zeros(len(starts), np.uint64)
+        for k in range(MINIMA):
+            own = mix(own + np.minimum.reduceat(mix(term ^ np.uint64(0xD1B54A32D192ED03 * (k + 1) & (1 << 64) - 1)), starts))
+        out[row[starts]] = own
+    return out
+
+
+def _large(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted signs of the large groups of like texts, and what each of their rows weighs of _ONE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            signs = _signs(*_distinct(Words(batch.column("text"), ALNUM)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64))], ["sign"])
+
+    sizes = texts.mapInArrow(run, "sign long").groupBy("sign").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, total * LARGE)).toArrow()
+    signs = sizes.column("sign").to_numpy().view(np.uint64)
+    order = np.argsort(signs)
+    return signs[order], np.maximum(_ONE // sizes.column("n").to_numpy()[order], 1)
+
+
+def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND, copies: bool = True) -> np.ndarray:
+    """Sorted hashes of the terms in the band, counted over all rows (null: no terms). Without
+    ``copies`` also those that leave it only because of large groups of like texts."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    total = docs.count()
+    signs, weights = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if copies else _large(texts, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, parts, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        names, counts, parts, held, every = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), [], 0, 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            every, at = np.unique(np.concatenate([names, *parts]), return_inverse=True)
-            return every, np.bincount(at[: len(names)], counts, len(every)).astype(np.int64) + np.bincount(at[len(names) :], minlength=len(every))
+            found, at = np.unique(np.concatenate([names, *(t for t, _ in parts)]), return_inverse=True)
+            out = np.zeros((2, len(found)), np.int64)
+            out[:, at[: len(names)]] = counts
+            np.add.at(out[1], at[len(names) :], np.concatenate([w for _, w in parts] or [np.zeros(0, np.int64)]))
+            out[0] += np.bincount(at[len(names) :], minlength=len(found))
+            return found, out
 
         for batch in slices(batches, "text"):
-            parts.append(_distinct(Words(batch.column("text"), ALNUM))[1])
-            held += len(parts[-1])
+            row, term = _distinct(Words(batch.column("text"), ALNUM))
+            weight = np.full(batch.num_rows, _ONE)
+            if len(signs):
+                own = _signs(row, term, batch.num_rows)
+                at = np.minimum(np.searchsorted(signs, own), len(signs) - 1)
+                weight = np.where(signs[at] == own, weights[at], _ONE)
+            every += int(weight.sum())
+            parts.append((term, weight[row]))
+            held += len(term)
             if held > 2_000_000:
                 (names, counts), parts, held = merged(), [], 0
         names, counts = merged()
         for i in range(0, len(names), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["term", "n"])
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(counts[0, part]), pa.array(counts[1, part]), pa.nulls(len(names[part]), pa.int64())], ["term", "n", "w", "every"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([0]), pa.array([every])], ["term", "n", "w", "every"])
 
-    total = docs.count()
     low, high = total * math.exp(-band[1]), total * math.exp(-band[0])
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = counted.where((F.col("n") >= low) & (F.col("n") <= max(high, 1))).select("term").toArrow().column("term").combine_chunks().to_numpy()
-    return np.sort(found.view(np.uint64))
+    counted = texts.mapInArrow(run, "term long, n long, w long, every long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "w", "every")))
+    # The sum of all weights stands in the row without a term.
+    found = counted.where(F.col("term").isNull() | (F.col("n") >= low)).toArrow()
+    n, w = (found.column(c).to_numpy() for c in ("n", "w"))
+    real = found.column("term").is_valid().to_numpy()
+    every = sum(x or 0 for x in found.column("every").to_pylist())
+    keep = real & ((n <= max(high, 1)) | (not copies) & (w <= every * math.exp(-band[0])))
+    return np.sort(found.column("term").combine_chunks().fill_null(0).to_numpy()[keep].view(np.uint64))
 
 
 def prints(texts: list[str], known: np.ndarray) -> np.ndarray:
     """Hashes of each text, [texts, SALTS * LEVELS], 0 where a subset holds none of its terms.
-    A text of which no subset holds a term has hashes of its whole self instead."""
+    A text without known terms has all its terms; one of which no subset holds a term has hashes of
+    its whole self instead."""
     words = Words(pa.array(texts, pa.large_string()), ALNUM)
     row, term = _distinct(words)
     if len(known):
         at = np.minimum(np.searchsorted(known, term), len(known) - 1)
         keep = known[at] == term
+        none = np.bincount(row[keep], minlength=len(texts)) == 0
+        keep |= none[row]
         row, term = row[keep], term[keep]
-    else:
-        row, term = row[:0], term[:0]
     out = np.zeros((len(texts), SALTS, LEVELS), np.uint64)
     for salt in range(SALTS):
         draw = mix(term ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1))
@@ -107,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, fingerprint)`` of each row; a null text counts as empty. The lexicon is that of
     ``docs`` unless given. Equal texts have equal fingerprints."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon(docs, text_col) if known is None else known)
+    sent = spark.sparkContext.broadcast(lexicon(docs, text_col, copies=False) if known is None else known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -129,7 +182,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    sent = spark.sparkContext.broadcast(lexicon(rows, "text"))
+    sent = spark.sparkContext.broadcast(lexicon(rows, "text", copies=False))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // PARTITION_BYTES + 1)
     cuts = sorted(set(rows.stat.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []

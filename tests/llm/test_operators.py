@@ -533,3 +533,22 @@ def test_lm_gives_bits_per_byte(spark):
         n, bits = len(text.encode()), -got[k]["score"] * math.log2(10)
         assert got[k]["n_bytes"] == n and math.isclose(got[k]["total_bits"], bits)
         assert math.isclose(got[k]["bits_per_byte"], bits / n if n else 0.0)
+
+
+def test_fingerprints_of_large_groups(spark):
+    """Near copies that hold a third of the rows are alike, and so are short texts of common words."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        text[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(text) if k < 100 else " ".join(rng.choice(base) if rng.random() < 0.02 else f"r{rng.randrange(5000)}" for _ in range(100))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+    prints = np.array([np.frombuffer(bytes.fromhex(got[k]), np.uint8).reshape(-1, 3).astype(np.int64) @ [1, 256, 65536] for k in range(300)])
+    assert fingerprint.likeness(prints[:50], prints[50:100]).mean() > 0.5
+    assert fingerprint.likeness(prints[100:200], prints[200:]).mean() < 0.1
+    known = fingerprint.lexicon(docs, "text", copies=False)
+    two = fingerprint.prints(["zz yy xx ww vv uu tt ss", "zz yy xx ww vv uu tt ss!"], known)
+    assert fingerprint.likeness(two[:1], two[1:])[0] == 1.0
