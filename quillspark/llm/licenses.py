@@ -1,8 +1,9 @@
 """Licence scan: TF-IDF cosine of lines and whole texts to notices, then inheritance by path.
 
 Terms are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Their inverse
-frequencies come from the lines of all texts. Each line (a header) and each whole text (a
-licence file) is held against every notice; only terms of the notices can add to a product, so
+frequencies come from the lines of all texts. Each line and each window of a notice's length (a
+header) and each whole text (a licence file) is held against every notice, a whole text against
+the full licence texts of ``license_texts`` too; only terms of the notices can add to a product, so
 vectors stay sparse. A document without a licence of its own takes that of the nearest
 directory, from its own upwards, that holds a licence file.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textkit import ALNUM, Words, slices
+from .textkit import ALNUM, Words, slices, windows
 
 THRESHOLD = 0.6
 #: A text is a licence file if it is that much like a notice as a whole.
 FILE_THRESHOLD = 0.5
+#: Or that much like a full licence text, which shares its many common words with any long text.
+TEXT_THRESHOLD = 0.8
 
 # Customary short notices of well-known licences.
 NOTICES = {
@@ -42,6 +46,11 @@ NOTICES = {
 }
 
 
+def full_texts() -> dict[str, list[str]]:
+    """Full licence texts by name, without names of their holders."""
+    return {p.stem: [p.read_text("utf-8")] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 class Templates:
     """Notices as vectors over their own terms; ``lines`` and ``counts`` are the corpus figures."""
 
@@ -52,6 +61,7 @@ class Templates:
         held = np.array([(counts or {}).get(int(h), 0) for h in self.terms.view(np.int64)])
         self.rare = np.log(lines + 1.0) + 1
         self.idf = np.log((lines + 1) / (held + 1)) + 1
+        self.sizes = np.diff(words.first).tolist()
         self.matrix = np.zeros((len(self.names), len(self.terms)))
         for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
             np.add.at(self.matrix[k], np.searchsorted(self.terms, words.hash[a:b]), 1.0)
@@ -88,6 +98,36 @@ class Templates:
         return out
 
 
+    def headers(self, words: Words, threshold: float) -> list[tuple[int, str, float]]:
+        """Windows of words in one row, each as long as a notice, that are like it: first word, name,
+        cosine. Lines don't bound them."""
+        n = len(words.hash)
+        row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        hit, term = self.find(words)
+        weight = np.full(n, self.rare)
+        weight[hit] = self.idf[term]
+        length = np.concatenate([[0], np.cumsum(weight**2)])
+        out = []
+        for k, size in enumerate(self.sizes):
+            if n < size or not size:
+                continue
+            product = np.zeros(n)
+            product[hit] = self.idf[term] * self.matrix[k, term]
+            total = np.concatenate([[0], np.cumsum(product)])
+            like = total[size:] - total[:-size] >= threshold * np.sqrt(np.maximum(length[size:] - length[:-size], 0)) - 1e-6
+            at = np.flatnonzero(like & (row[size - 1 :] == row[: n - size + 1]))
+            if not len(at):
+                continue
+            known: dict[int, float] = {}
+            for a, name in zip(at.tolist(), windows(words.hash, size)[at].tolist()):
+                if name not in known:
+                    _, first, times = np.unique(words.hash[a : a + size], return_index=True, return_counts=True)
+                    known[name] = float(product[a : a + size].sum() / np.linalg.norm(times * weight[a : a + size][first]))
+                if known[name] >= threshold:
+                    out.append((a, self.names[k], min(known[name], 1.0)))
+        return sorted(out)
+
+
 def _lines(words: Words) -> tuple[np.ndarray, int, np.ndarray]:
     """Line number of each word (rows begin new lines), number of lines, row of each line."""
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
@@ -101,11 +141,12 @@ def _lines(words: Words) -> tuple[np.ndarray, int, np.ndarray]:
 
 def scan(docs: DataFrame, text_col: str = "text", notices: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with ``own_license``, ``own_score`` (null where no line and not the whole is like
-    a notice), ``own_line`` (the text's best line, counted from 0 among lines with words; null
-    for a whole) and ``is_license_file``. Null and empty texts have none. Ties go to the earlier
+    a notice), ``own_line`` (the text's best line or the first of its best window, counted from 0
+    among lines with words; null for a whole; a full licence text goes before its lines) and ``is_license_file``. Null and empty texts have none. Ties go to the earlier
     line, then to the name that sorts first."""
     notices = notices or NOTICES
-    vocabulary = Templates(notices)
+    texts_of = full_texts()
+    vocabulary = Templates({"": [t for ts in (*notices.values(), *texts_of.values()) for t in ts]})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, held = 0, np.zeros(len(vocabulary.terms), np.int64)
@@ -120,12 +161,13 @@ def scan(docs: DataFrame, text_col: str = "text", notices: dict[str, list[str]]
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(Templates(notices, counts.pop(0, 0), counts))
+    lines = counts.pop(0, 0)
+    sent = docs.sparkSession.sparkContext.broadcast((Templates(notices, lines, counts), Templates(texts_of, lines, counts)))
     fresh = ("own_license", "own_score", "own_line", "is_license_file")
     kept = [c for c in docs.columns if c not in fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = sent.value
+        templates, full = sent.value
         for batch in slices(batches, text_col):
             words = Words(batch.column(text_col), ALNUM)
             at, n, rows = _lines(words)
@@ -135,12 +177,18 @@ def scan(docs: DataFrame, text_col: str = "text", notices: dict[str, list[str]]
                 row = int(rows[line])
                 if best[row][1] is None or round(cosine, 9) > round(best[row][1], 9):
                     best[row] = (name, cosine, int(line - base[row]))
-            file = [False] * batch.num_rows
             whole = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+            for first, name, cosine in templates.headers(words, THRESHOLD):
+                row = int(whole[first])
+                if best[row][1] is None or round(cosine, 9) > round(best[row][1], 9):
+                    best[row] = (name, cosine, int(at[first] - base[row]))
+            file = [False] * batch.num_rows
             for row, name, cosine in templates.best(words, whole, batch.num_rows, FILE_THRESHOLD):
                 file[row] = True
                 if best[row][1] is None:
                     best[row] = (name, cosine, None)
+            for row, name, cosine in full.best(words, whole, batch.num_rows, TEXT_THRESHOLD):
+                file[row], best[row] = True, (name, cosine, None)
             columns = [pa.array([b[k] for b in best], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns, pa.array(file)], [*kept, *fresh])
 

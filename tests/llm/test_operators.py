@@ -552,3 +552,17 @@ def test_fingerprints_of_large_groups(spark):
     known = fingerprint.lexicon(docs, "text", copies=False)
     two = fingerprint.prints(["zz yy xx ww vv uu tt ss", "zz yy xx ww vv uu tt ss!"], known)
     assert fingerprint.likeness(two[:1], two[1:])[0] == 1.0
+
+
+def test_license_texts_and_windows(spark):
+    texts = licenses.full_texts()
+    rows = [(f"{name}/LICENSE", "Copyright (c) 2020 Jo Doe\n\n" + text) for name, (text,) in texts.items()] + [(f"{name}/x/code.py", "x = 1") for name in texts]
+    rows += [("w/one.py", "# Licensed under the\n# Apache License,\n# Version 2.0.\n" + "code " * 300), ("w/two.py", "foo bar baz " * 50 + "Licensed under the Apache License, Version 2.0. " + "foo qux " * 50)]
+    filler = [(f"z/{k}", f"the table under version {k} of work {k}\nthis and that") for k in range(60)]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows + filler)], "doc_id long, path string, text string")
+    got = {r["path"]: r for r in licenses.licensed(docs, F.col("path")).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"]["is_license_file"] and got[f"{name}/LICENSE"]["own_license"] == name
+        assert (got[f"{name}/x/code.py"]["license"], got[f"{name}/x/code.py"]["license_up"]) == (name, 1)
+    assert {(got[p]["own_license"], got[p]["is_license_file"]) for p in ("w/one.py", "w/two.py")} == {("Apache-2.0", False)}
+    assert got["w/one.py"]["own_line"] == 0 and all(got[p]["license"] is None for p, _ in filler)
