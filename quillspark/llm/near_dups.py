@@ -6,7 +6,7 @@ with probability (1 - J)(1 - 2^-16). Signatures are cut into ``chunks`` runs of
 By the pigeonhole principle two signatures that differ in at most ``max_distance`` symbols
 have a chunk with at most ``max_distance // chunks`` differences; all ways to blank so many
 symbols of a chunk are enumerated as keys, so every such pair shares a key for certain.
-Pairs are then confirmed on the full sets.
+Pairs are then confirmed on the full sets, whose shingles are compared word by word.
 
 With 80 symbols, 16 chunks and a distance of 31 a pair at J = 0.8 exactly lies beyond the
 distance with a probability near 2e-5 (binomial with mean 16 and deviation 3.6), and less
@@ -21,7 +21,6 @@ pair unless it is linked.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import release, written
-from .textkit import SPACED, Words, mix, shingle_sets, slices
+from .textkit import SPACED, Words, mix, shingle_hashes, shingle_sets, slices, window_numbers
 
 
 @dataclass(frozen=True)
@@ -62,34 +61,28 @@ def _symbols(own: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return (best >> np.uint32(16)).astype(np.uint16)
 
 
-def _sid(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def _family(p: Params) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     return rng.integers(0, 1 << 32, p.hashes, np.uint32), rng.integers(0, 1 << 31, p.hashes, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """``(id, n_shingles, sid, sig)`` of each row. sid names the set (64 bits of a digest of
-    its hashes), null for an empty set; sig is the signature, two bytes a symbol."""
+    """``(id, n_shingles, digest, sig)`` of each row. digest names the sequence of words (128
+    bits), null without words; sig is the set's signature, two bytes a symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, mul = _family(p)
         for batch in slices(batches, "text"):
-            sets = shingle_sets(Words(batch.column("text"), SPACED), p.shingle)
-            sid, sig = [], []
-            for own in sets:
-                sid.append(_sid(own) if len(own) else None)
-                sig.append(_symbols(own, xor, mul).tobytes() if len(own) else None)
+            words = Words(batch.column("text"), SPACED)
+            sig = [_symbols(own, xor, mul).tobytes() if len(own) else None for own in shingle_hashes(words, p.shingle)]
+            size = [len(own) for own in shingle_sets(words, p.shingle)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())],
-                ["id", "n_shingles", "sid", "sig"],
+                [batch.column("id"), pa.array(size, pa.int64()), pa.array(words.digests(), pa.binary()), pa.array(sig, pa.binary())],
+                ["id", "n_shingles", "digest", "sig"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, sid long, sig binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
 
 
 def _matrix(column: pa.Array, p: Params) -> np.ndarray:
@@ -142,7 +135,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a"), "text_b"):
-            left, right = (shingle_sets(Words(batch.column(c), SPACED), p.shingle) for c in ("text_a", "text_b"))
+            both = shingle_sets(Words(pa.chunked_array([batch.column("text_a"), batch.column("text_b")]), SPACED), p.shingle)
+            left, right = both[: batch.num_rows], both[batch.num_rows :]
             keep = []
             for x, y in zip(left, right):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -165,10 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     p = params
     rows = written(signatures(docs, id_col, text_col, p), "nd-rows")
-    sets = written(
-        rows.where("id is not null and sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
-        "nd-sets",
-    )
+    once = rows.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # sid numbers the distinct texts; it holds from here on, as the table is stored.
+    sets = written(once.withColumn("sid", F.monotonically_increasing_id()), "nd-sets")
 
     buckets = written(keys(sets, p).groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("x"), F.max("sid").alias("y")).where("c > 1"), "nd-buckets")
     large = keys(sets, p).join(buckets.where("c > 2").select("key", "c"), "key")
@@ -181,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = close.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
     texts = written(_texts(need, docs, sets, id_col, text_col, p), "nd-texts")
     links = written(_confirmed(close, texts, p), "nd-links")
-    shared = _shared_ids(rows)
+    shared = _shared_ids(rows, sets)
     release(buckets)
 
     labels = components(links.unionByName(shared))
@@ -193,35 +186,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links.unionByName(more).unionByName(shared))
     release(members, tasks, texts, close)
 
-    named = sets.select("sid", "id").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
+    named = sets.select("digest", "sid", "id").join(labels, F.col("sid") == F.col("node"), "left").select("digest", "id", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    classes = named.join(least, "label").select(F.col("sid").alias("set_id"), "component_id")
-    out = rows.join(classes, F.col("sid") == F.col("set_id"), "left")
+    classes = named.join(least, "label").select("digest", "component_id")
+    out = rows.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
 
 
-def _shared_ids(rows: DataFrame) -> DataFrame:
-    """Edges between sets of rows that share an id."""
-    own = rows.where("id is not null and sid is not null").select("id", "sid")
-    several = own.groupBy("id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("id", "lo")
-    return own.join(several, "id").where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct()
+def _shared_ids(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between texts of rows that share an id."""
+    own = rows.where("id is not null and digest is not null").select("id", "digest")
+    several = own.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id", "lo")
+    pairs = own.join(several, "id").where("digest <> lo").select("digest", "lo").distinct()
+    number = lambda name, out: sets.select(F.col("digest").alias(name), F.col("sid").alias(out))
+    return pairs.join(number("digest", "a"), "digest").join(number("lo", "b"), "lo").select("a", "b")
 
 
 def _texts(need: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """``(sid, text)`` of the sets in ``need``; of a repeated id the rows with that set."""
-    need = need.join(sets.select("sid", "id"), "sid")
+    """``(sid, text)`` of the sets in ``need``; of a repeated id the rows with that text."""
+    need = need.join(sets.select("sid", "id", "digest"), "sid")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = shingle_sets(Words(batch.column("text"), SPACED), p.shingle)
-            digest = [_sid(x) if len(x) else 0 for x in found]
-            yield batch.filter(pa.array(np.array(digest, np.int64) == batch.column("sid").to_numpy()))
+            found = Words(batch.column("text"), SPACED, hashed=False).digests()
+            same = pa.array([x == y for x, y in zip(found, batch.column("digest").to_pylist())], pa.bool_())
+            yield batch.select(["sid", "text"]).filter(same)
 
-    return rows.join(need, "id").select("sid", "text").mapInArrow(own, "sid long, text string").dropDuplicates(["sid"])
+    return rows.join(need, "id").select("sid", "text", "digest").mapInArrow(own, "sid long, text string").dropDuplicates(["sid"])
 
 
 #: Members of a bucket that are compared in one step, on average.
@@ -313,9 +308,7 @@ def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "task"):
             texts_at = rows.filter(rows.column("pairs").is_null())
-            sets = {}
-            for part in slices(iter(texts_at.to_batches()), "text"):
-                sets.update(zip(part.column("sid").to_pylist(), shingle_sets(Words(part.column("text"), SPACED), p.shingle)))
+            sets = dict(zip(texts_at.column("sid").to_pylist(), _task_sets(texts_at, p.shingle)))
             links_a, links_b = [], []
             for row in rows.filter(rows.column("pairs").is_valid()).select(["sids", "pairs"]).to_pylist():
                 at = np.frombuffer(row["pairs"], np.int32)
@@ -334,6 +327,19 @@ def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params) -> DataFrame
     return wanted.unionByName(lists).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
+def _task_sets(texts: pa.Table, n: int) -> list[np.ndarray]:
+    """The rows' sets, comparable over all slices of the rows."""
+    parts, bounds = [], [np.zeros(1, np.int64)]
+    for part in slices(iter(texts.to_batches()), "text"):
+        words = Words(part.column("text"), SPACED, hashed=False)
+        parts.append(words.encoded())
+        bounds.append(bounds[-1][-1] + words.first[1:])
+    coded = pa.chunked_array(parts).unify_dictionaries()
+    code = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    key, cuts = window_numbers(code, np.concatenate(bounds), n, len(coded.chunk(0).dictionary))
+    return [np.unique(key[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
 def _shared(own: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of own[left] and own[right]; work by ranges of hashes keeps
     the incidence matrix small however long the sets are."""

@@ -2,12 +2,14 @@
 
 Texts are handled as UTF-8 bytes. Every word class used here is decided by ASCII bytes
 alone (a byte of 0x80 or more is always a word byte), so byte positions and code points
-agree. Memory follows the slice of rows in hand, see :func:`slices`; hashing inside a
-slice goes piece by piece, so a very long text costs a few dozen bytes a word.
+agree. Memory follows the slice of rows in hand, see :func:`slices`. Hashes are for finding
+candidates and drawing samples; what must be equal is told by :meth:`Words.distinct` and
+:func:`window_numbers`, which compare bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-_PIECE = 1 << 18
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD1B54A32D192ED03 | 1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Pieces of more bytes are hashed one by one.
+_LONG = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,22 +82,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces buf[start[i]:end[i]], which ascend and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    longest = int((end - start).max(initial=1))
-    size = max(_PIECE, longest) + 1
-    up, down = powers(_P, size), powers(_PINV, size)
-    i = 0
-    while i < len(out):
-        a = start[i]
-        j = max(i + 1, int(np.searchsorted(end, a + size - 1, side="right")))
-        b = end[j - 1]
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
-        s = start[i:j] - a
-        out[i:j] = (total[end[i:j] - a] - total[s]) * down[s]
-        i = j
-    return mix(out)
+    """64-bit hashes of the pieces buf[start[i]:end[i]]: eight bytes at a time go through the
+    finaliser, pieces of more than _LONG bytes through BLAKE2b."""
+    size = np.asarray(end - start, np.int64)
+    out = mix(size.astype(np.uint64) + _SEED)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    at = np.flatnonzero(size <= _LONG)
+    place, left = start[at], size[at]
+    while len(at):
+        out[at] = mix(out[at] ^ (lanes[place] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """``data`` cut into pieces of these sizes."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Words:
@@ -104,7 +113,7 @@ class Words:
     def __init__(self, column: pa.Array, table: np.ndarray, lower: bool = True, hashed: bool = True):
         buf, self.offsets = strings(column)
         self.buf = _LOWER[buf] if lower else buf
-        inside = table[self.buf]
+        self.inside = inside = table[self.buf]
         n = len(inside)
         if not n:
             self.start = self.end = np.zeros(0, np.int64)
@@ -125,6 +134,31 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
+    def encoded(self) -> pa.DictionaryArray:
+        """The words as numbers of distinct words; bytes are compared."""
+        return binaries(self.buf[self.inside], self.end - self.start).dictionary_encode()
+
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word among the distinct words, and these."""
+        found = self.encoded()
+        return found.indices.to_numpy(), found.dictionary
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with a blank after each, and where each word begins (and the end)."""
+        at = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start + 1, out=at[1:])
+        out = np.full(at[-1], 0x20, np.uint8)
+        own = np.ones(at[-1], bool)
+        own[at[1:] - 1] = False
+        out[own] = self.buf[self.inside]
+        return out, at
+
+    def digests(self) -> list[bytes | None]:
+        """For each row 128 bits of a digest of its sequence of words, None without words."""
+        data, at = self.joined()
+        ends = at[self.first].tolist()
+        return [hashlib.blake2b(data[a : b - 1].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends, ends[1:])]
+
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive values (ordered); len - n + 1 of them, or none."""
@@ -136,17 +170,40 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its ``n``-word shingles; of fewer words,
-    but not none, the whole sequence is one shingle."""
+def shingle_hashes(words: Words, n: int) -> list[np.ndarray]:
+    """For each row the hashes of its ``n``-word shingles, repeats included; of fewer words, but
+    not none, the whole sequence is one shingle."""
     every = windows(words.hash, n)
-    out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= n:
-            own = np.sort(every[a : b - n + 1])
-            keep = np.ones(len(own), bool)
-            np.not_equal(own[1:], own[:-1], out=keep[1:])
-            out.append(own[keep])
-        else:
-            out.append(windows(words.hash[a:b], b - a) if b > a else every[:0])
-    return out
+    bounds = words.first.tolist()
+    return [every[a : b - n + 1] if b - a >= n else windows(words.hash[a:b], b - a) if b > a else every[:0] for a, b in zip(bounds, bounds[1:])]
+
+
+def window_numbers(code: np.ndarray, first: np.ndarray, n: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n``-word windows of rows of word numbers (below ``kinds``; row i has first[i]:first[i + 1]):
+    a number for each, equal for equal windows only, and the n + 1 places where a row's begin. A
+    row of fewer than ``n`` words, but not none, is one window."""
+    size = np.diff(first)
+    count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+    bounds = np.zeros(len(first), np.int64)
+    np.cumsum(count, out=bounds[1:])
+    at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], count)
+    last = np.repeat(first[1:], count)
+    key, room = np.zeros(len(at), np.int64), 1
+    for k in range(n):
+        if room > (1 << 62) // (kinds + 1):
+            names, key = np.unique(key, return_inverse=True)
+            room = len(names)
+        # Beyond a short row's end stands the number ``kinds``.
+        own = code[np.minimum(at, len(code) - 1)] if len(at) else code[:0]
+        key = key * (kinds + 1) + np.where(at < last, own, kinds)
+        room *= kinds + 1
+        at = at + 1
+    return key, bounds
+
+
+def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
+    """For each row its distinct ``n``-word shingles as sorted numbers (see
+    :func:`window_numbers`), to be compared among these rows only."""
+    code, names = words.distinct()
+    key, bounds = window_numbers(code, words.first, n, len(names))
+    return [np.unique(key[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
