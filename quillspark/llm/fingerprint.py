@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import ALNUM, Words, mix, slices
+from .token_files import partitions
 
 SALTS, LEVELS = 8, 10
 #: Terms in at least 1 in 4000 documents and at most 1 in 10: with an average of d distinct
 #: terms a document the lexicon has at most 4000 d entries, whatever the number of documents.
 IDF_BAND = (math.log(10), math.log(4000))
-PARTITION_BYTES = 12 << 20
 #: Minima of a text's terms that like texts share, and the share of rows from which a group of them
 #: weighs as one text: there are at most 1 / LARGE of these groups.
 MINIMA, LARGE = 4, 1e-3
@@ -184,7 +184,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     sent = spark.sparkContext.broadcast(lexicon(rows, "text", copies=False))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // PARTITION_BYTES + 1)
+    parts = partitions(spark, total)
     cuts = sorted(set(rows.stat.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
 
     @F.pandas_udf("long")
@@ -198,7 +198,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = "id long, bucket long"
     extra = rows.join(F.broadcast(spark.createDataFrame(donors, schema)), "id").select("id", "text", "bucket", F.lit(1).alias("donor"))
     both = dealt.select("id", "text", "bucket", F.lit(0).alias("donor")).unionByName(extra)
-    sorted_ = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "donor", F.desc("id"), "text")
+    sorted_ = both.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "donor", F.desc("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None

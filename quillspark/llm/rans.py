@@ -88,6 +88,11 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     return head + places + b"".join(state.astype("<u8").tobytes() for _, state in marks) + stream.astype("<u4").tobytes()
 
 
+def length(block: bytes) -> int:
+    """Number of ids in a block."""
+    return _HEAD.unpack_from(block)[0]
+
+
 def decode(block: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of a block; with ``first`` and ``last``, those between two checkpoints only. The
     whole block is held against its checksum."""

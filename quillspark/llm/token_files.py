@@ -2,19 +2,21 @@
 
 Documents are range-partitioned and sorted by id, tokenised once, and their ids and the
 frequencies of all ids written to the shared folder; then every group of documents becomes
-one file. A file is::
+one token file. A token file is::
 
     magic, version, index of its first token in the corpus, sizes            (header)
     document ids, tokens of each document, first document and token of each block (zlib)
     the shared frequency table                                               (zlib)
     blocks as in :mod:`.rans`, each with checkpoints and a checksum
 
-so any file, and any checkpoint of a block, can be decoded without another.
+so any file, and any checkpoint of a block, can be decoded without another. Token files are
+written and read through Spark, on any store that Spark knows: a Parquet table ``(start,
+n_tokens, content)`` has one file's bytes in each row, and Spark's committer makes each task's
+output appear whole or not at all.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,18 +25,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rans
 from .store import release, scratch, written
-from .textkit import hashes, slices, strings
+from .textkit import binaries, slices, strings
 
 MAGIC = b"QTOK1\0\0\0"
 _HEAD = struct.Struct("<8sQQQIIII")
 FILE_TOKENS = 2 << 20
 BLOCK_TOKENS = 256 << 10
-PARTITION_BYTES = 16 << 20
-CACHE_PIECES = 1_000_000
+#: Bytes of text a partition where all cores have work, and at most (rows stream through Python
+#: in slices, and the sort may spill).
+PARTITION_BYTES, MOST_BYTES = 16 << 20, 256 << 20
+#: Pieces that are remembered at most, and bytes of them.
+CACHE_PIECES, CACHE_BYTES = 500_000, 32 << 20
 
 
 #: Classes of bytes for :func:`pieces`.
@@ -90,8 +96,8 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Ids of whole texts by a library tokenizer whose pre-tokens follow :func:`pieces`.
 
-    Each distinct piece goes through the library once, until CACHE_PIECES of them are known;
-    then the memory is cleared. Runs of letters, lower-cased, skip the library's normalizer
+    Each distinct piece goes through the library once, until CACHE_PIECES or CACHE_BYTES of them
+    are known; then the memory is cleared. Runs of letters, lower-cased, skip the library's normalizer
     and its splitting, which leave them as they are.
     """
 
@@ -110,12 +116,12 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _reset(self) -> None:
-        self.names = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.known: dict[bytes, int] = {}
+        self.start = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.pool, self.used, self.bytes = np.zeros(1 << 20, np.uint32), 0, 0
 
-    def _learn(self, names: np.ndarray, words: list[bytes], letters: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], letters: np.ndarray) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         ids: list[list[int]] = [[]] * len(texts)
         for kind in (True, False):
@@ -125,35 +131,35 @@ class Encoder:
                 for i, found in zip(part, self._batch([texts[i].lower() if kind else texts[i] for i in part], kind)):
                     ids[i] = found
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
+        total, before = int(size.sum()), len(self.known)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used) + 1, np.uint32)])
+        if before + len(words) > len(self.start):
+            more = np.zeros(max(len(words), before), np.int64)
+            self.start, self.size = np.concatenate([self.start[:before], more]), np.concatenate([self.size[:before], more])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        place = np.searchsorted(self.names, names)
-        self.names = np.insert(self.names, place, names)
-        self.start = np.insert(self.start, place, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
+        self.start[before : before + len(words)] = self.used + np.cumsum(size) - size
+        self.size[before : before + len(words)] = size
+        self.known.update(zip(words, range(before, before + len(words))))
         self.used += total
+        self.bytes += sum(map(len, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, and how many each row has."""
+        """All ids of the rows, and how many each row has. Pieces are told apart by their bytes."""
         buf, offsets = strings(texts)
         starts, ends, letters = pieces(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        named = hashes(buf, starts, ends)
-        names, first, at = np.unique(named, return_index=True, return_inverse=True)
-        if len(self.names) > CACHE_PIECES:
+        coded = binaries(buf[_KIND[buf] != _SPACE], ends - starts).dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) > CACHE_PIECES or self.bytes > CACHE_BYTES:
             self._reset()
-        known = np.zeros(len(names), bool)
-        if len(self.names):
-            known = self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] == names
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            i = first[fresh]
-            raw = buf.tobytes()
-            self._learn(names[fresh], [raw[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())], letters[i])
-        place = np.searchsorted(self.names, names)[at]
+        fresh = [k for k, w in enumerate(words) if w not in self.known]
+        if fresh:
+            first = np.empty(len(words), np.int64)
+            first[at[::-1]] = np.arange(len(at))[::-1]
+            self._learn([words[k] for k in fresh], letters[first[fresh]])
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[at]
         size = self.size[place]
         stops = np.cumsum(size)
         spots = np.arange(stops[-1]) + np.repeat(self.start[place] - (stops - size), size)
@@ -214,11 +220,16 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = total // PARTITION_BYTES + 1
-    ordered = rows.repartitionByRange(int(parts), "id").sortWithinPartitions("id", "text")
+    parts = partitions(docs.sparkSession, total)
+    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
     return ordered.mapInArrow(run, "part long, seq long, first long, doc_ids binary, sizes binary, ids binary, n long")
 
 
+def partitions(spark: SparkSession, total: int) -> int:
+    """Ranges for so many bytes of text: their number follows the cores, then the bytes."""
+    return int(max(total // MOST_BYTES, min(total // PARTITION_BYTES, 4 * spark.sparkContext.defaultParallelism))) + 1
+
+
 def _frequencies(groups: DataFrame) -> np.ndarray:
     """Counts by id over the corpus: as many rows as the vocabulary has come to the driver."""
 
@@ -240,29 +251,31 @@ def _frequencies(groups: DataFrame) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
-    """Writes ``path/part-*.qtok``: the ids of each text (null: none) and ``end_id`` after it.
+    """Writes token files to ``path``: the ids of each text (null: none) and ``end_id`` after it.
 
-    Rows with a null id are left out. Rows that share an id follow one another in the order of
-    their texts. An empty table writes an empty folder. ``path`` must be one that all executors
-    share; files are written under another name and then renamed, so a repeated task is safe.
+    Rows with a null id are left out. Rows that share an id, equal ones too, follow one another
+    in the order of their texts. An empty table writes a table without rows. Other columns are
+    not read. ``path`` must be one that all executors share.
     """
     spark = docs.sparkSession
     groups = written(_tokenised(docs, id_col, text_col, tokenizer, end_id), "tokens")
     table = spark.sparkContext.broadcast(rans.Table(_frequencies(groups)).to_bytes())
-    sizes = sorted((r["part"], r["n"]) for r in groups.where("seq = -1").select("part", "n").collect())
-    ends = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    starts = spark.sparkContext.broadcast({part: a for (part, _), a in zip(sizes, ends)})
+    # One row for each partition: some 400,000 for 100 TB, so one task can add them up and their
+    # sums, two numbers each, can be sent to all.
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = groups.where("seq = -1").select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, model = table.value, rans.Table.from_bytes(table.value)
         for batch in batches:
-            for r in batch.to_pylist():
-                data = pack(r["doc_ids"], r["sizes"], r["ids"], starts.value[r["part"]] + r["first"], shared, model)
-                _put(f"{path}/part-{r['part']:06d}-{r['seq']:06d}.qtok", data)
-                yield pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64())], ["bytes"])
-
-    _folder(spark, path)
-    groups.where("seq >= 0").drop("n").mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                data = pack(r["doc_ids"], r["sizes"], r["ids"], r["start"], shared, model)
+                yield pa.RecordBatch.from_arrays([pa.array([r["start"]]), pa.array([r["n"]]), pa.array([data], pa.binary())], ["start", "n_tokens", "content"])
+
+    placed = groups.where("seq >= 0").join(F.broadcast(starts), "part").select((F.col("before") + F.col("first")).alias("start"), "n", "doc_ids", "sizes", "ids")
+    files = placed.mapInArrow(run, "start long, n_tokens long, content binary")
+    files.write.option("compression", "none").option("parquet.block.size", str(8 << 20)).parquet(path)
     release(groups)
 
 
@@ -282,31 +295,50 @@ def pack(doc_ids: bytes, sizes: bytes, raw: bytes, start: int, shared: bytes, mo
 _models: dict[int, rans.Table] = {}
 
 
-def unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the first token, document ids, tokens of each document, and all ids."""
+def _opened(data: bytes) -> tuple[int, np.ndarray, np.ndarray, list[bytes], rans.Table]:
+    """Index of the first token, document ids, tokens of each document, the blocks and their table."""
     magic, start, n, docs, blocks, index_size, shared_size, crc = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token file")
     index, shared = data[_HEAD.size : (a := _HEAD.size + index_size)], data[a : a + shared_size]
     if zlib.crc32(index + shared) != crc:
         raise ValueError("header checksum does not match")
-    if crc_shared := zlib.crc32(shared):
-        if crc_shared not in _models:
-            _models.clear()
-            _models[crc_shared] = rans.Table.from_bytes(shared)
+    if (crc_shared := zlib.crc32(shared)) not in _models:
+        _models.clear()
+        _models[crc_shared] = rans.Table.from_bytes(shared)
     index = zlib.decompress(index)
     doc_ids, sizes = np.frombuffer(index, "<i8", docs), np.frombuffer(index, "<u4", docs, 8 * docs)
-    lengths = np.frombuffer(index, "<u4", blocks, 12 * docs)
-    at, ids = a + shared_size, []
-    for size in lengths.tolist():
-        ids.append(rans.decode(data[at : at + size], _models[crc_shared]))
-        at += size
+    if sizes.sum(dtype=np.int64) != n:
+        raise ValueError("number of tokens does not match")
+    cuts = a + shared_size + np.cumsum(np.append(0, np.frombuffer(index, "<u4", blocks, 12 * docs).astype(np.int64)))
+    return start, doc_ids, sizes, [data[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())], _models[crc_shared]
+
+
+def unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first token, document ids, tokens of each document, and all ids."""
+    start, doc_ids, sizes, blocks, model = _opened(data)
+    ids = [rans.decode(block, model) for block in blocks]
     out = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    if len(out) != n:
+    if len(out) != sizes.sum(dtype=np.int64):
         raise ValueError("number of tokens does not match")
     return start, doc_ids, sizes, out
 
 
+def between(data: bytes, first: int, last: int) -> tuple[int, np.ndarray]:
+    """Of a token file the ids of the corpus's tokens [first, last), and the index of the first of
+    them: blocks outside are skipped, and decoding begins at the checkpoint before ``first``."""
+    start, _, _, blocks, model = _opened(data)
+    unit = rans.CHECKPOINT * rans.LANES
+    at, begin, parts = start, max(first, start), []
+    for block in blocks:
+        n = rans.length(block)
+        a, b = max(first - at, 0), min(last - at, n)
+        if a < b:
+            parts.append(rans.decode(block, model, a // unit, -(-b // unit))[a % unit : b - a // unit * unit])
+        at += n
+    return begin, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
 def read_tokens(spark: SparkSession, path: str, each: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document in the files of ``path``; with
     ``each``, its value for a document's ids (``value``) in place of them."""
@@ -323,32 +355,29 @@ def read_tokens(spark: SparkSession, path: str, each: Callable[[np.ndarray], int
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int64)), values], ["doc_id", "start", "n_tokens", last])
 
     last = "value" if each is not None else "ids"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtok").load(path)
-    return files.select("content").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if each is not None else 'array<int>'}")
+    files = spark.read.schema(FILES).parquet(path).select("content")
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if each is not None else 'array<int>'}")
 
 
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+FILES = "start long, n_tokens long, content binary"
 
 
-def _folder(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """``(start, ids)``: the corpus's tokens [first, last), a row for each token file that holds
+    some. Only those files are read, and of them only from the checkpoint before on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                start, ids = between(data.as_py(), first, last)
+                yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], ["start", "ids"])
 
-def _put(uri: str, data: bytes) -> None:
-    """Writes a file to any store that pyarrow knows, whole or not at all."""
-    import uuid
+    files = spark.read.schema(FILES).parquet(path).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    return files.select("content").mapInArrow(run, "start long, ids array<int>")
 
-    from pyarrow import fs
 
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    store, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
-    folder, _, name = path.rpartition("/")
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
+def crc32(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def token_files(docs: DataFrame, tokenizer: str, **args) -> DataFrame:
