@@ -87,9 +87,22 @@ def mix(
     text are rows like any others; ties in the seeded order are broken by id, then n_tokens.
     """
     names = [f"mix_{level}" for level in levels]
-    counted = F.coalesce(tokens if tokens is not None else words(text_col), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *(F.coalesce(column.cast("string"), F.lit("")).alias(name) for name, column in zip(names, levels.values())), counted.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_leaf(levels), _counted(tokens, text_col).alias("n_tokens"))
     rows = written(rows.where("n_tokens > 0 and id is not null"), "mix-rows")
+    return _chosen(rows, levels, weights, total_share, max_epochs, seed).select(F.col("id").alias(id_col), *names, "epoch", "n_tokens", "take")
+
+
+def _leaf(levels: dict[str, Column]) -> list[Column]:
+    return [F.coalesce(column.cast("string"), F.lit("")).alias(f"mix_{level}") for level, column in levels.items()]
+
+
+def _counted(tokens: Column | None, text_col: str) -> Column:
+    return F.coalesce(tokens if tokens is not None else words(text_col), F.lit(0)).cast("long")
+
+
+def _chosen(rows: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]], total_share: float, max_epochs: int, seed: int) -> DataFrame:
+    """``rows(id, mix_<level>..., n_tokens, ...)`` (stored) that meet the budgets, with epoch and take."""
+    names = [f"mix_{level}" for level in levels]
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = leaves.withColumn("limit", F.col("tokens") * max_epochs)
     for level, name in zip(levels, names):
@@ -103,7 +116,7 @@ def mix(
     planned = rows.join(plan, names)
 
     whole = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    whole = whole.select("id", *names, "epoch", "n_tokens", F.col("n_tokens").alias("take"))
+    whole = whole.select(*rows.columns, "epoch", F.col("n_tokens").alias("take"))
 
     # The order of the last epoch is that of a seeded hash; its top bits deal a leaf's rows to
     # buckets, so a leaf of any size is put in order by many tasks.
@@ -116,8 +129,8 @@ def mix(
     inside = W.partitionBy(*names, "bucket").orderBy("h", "id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     placed = hashed.join(sums.where("true"), [*names, "bucket"]).where("before < rest")
     placed = placed.withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("at < rest")
-    part = placed.select("id", *names, F.col("whole").alias("epoch"), "n_tokens", F.least(F.col("n_tokens"), F.col("rest") - F.col("at")).alias("take"))
-    return whole.unionByName(part).withColumnRenamed("id", id_col)
+    part = placed.select(*rows.columns, F.col("whole").alias("epoch"), F.least(F.col("n_tokens"), F.col("rest") - F.col("at")).alias("take"))
+    return whole.unionByName(part)
 
 
 def words(text_col: str) -> Column:
@@ -130,16 +143,33 @@ def prefix(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=\S)(?=\s)"), F.lit(1), n.cast("int")), "")
 
 
-def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]], total_share: float, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    levels: dict[str, Column],
+    weights: dict[str, dict[str, float]],
+    total_share: float,
+    max_epochs: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokens: Column | None = None,
+    seed: int = 17,
+) -> DataFrame:
     """The rows of ``docs`` that are taken, once for each epoch; the text of a leaf's last row
-    is cut to the words taken of it. Columns stay those of ``docs``; n_chars, if there, follows."""
-    chosen = mix(docs, levels, weights, total_share, id_col=id_col, text_col=text_col, **args).select(F.col(id_col).alias("mix_id"), "take", F.col("n_tokens").alias("mix_tokens")).distinct() if args.get("max_epochs") == 1 else mix(
-        docs, levels, weights, total_share, id_col=id_col, text_col=text_col, **args
-    ).select(F.col(id_col).alias("mix_id"), "take", F.col("n_tokens").alias("mix_tokens"))
-    joined = docs.join(chosen, docs[id_col] == chosen["mix_id"])
-    text = F.when(F.col("take") < F.col("mix_tokens"), prefix(docs[text_col], F.col("take"))).otherwise(docs[text_col])
-    changed = {text_col: text}
-    out = joined.withColumns(changed)
+    is cut to the words taken of it. Columns stay those of ``docs``, whatever their names;
+    n_chars, if there, follows. Rows are told apart by a number of their own, so rows that share
+    an id, or are equal, are chosen one by one. Rows with a null id or without tokens are not taken.
+    """
+    own = [f"own_{k}" for k in range(len(docs.columns))]
+    # Positions, as names may repeat those used here.
+    held = docs.select(F.struct(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own))).alias("row"), F.col(id_col).cast("long").alias("id"), *_leaf(levels), _counted(tokens, text_col).alias("n_tokens"))
+    held = written(held.where("n_tokens > 0 and id is not null").withColumn("key", F.monotonically_increasing_id()), "mix-docs")
+    rows = held.select("key", "id", *(f"mix_{level}" for level in levels), "n_tokens")
+    chosen = _chosen(rows, levels, weights, total_share, max_epochs, seed).select("key", "take")
+    joined = held.select("key", "row.*", "n_tokens").join(chosen, "key")
+    text = own[docs.columns.index(text_col)]
+    part = F.col("take") < F.col("n_tokens")
+    cut = prefix(F.col(text), F.col("take"))
+    changed = {text_col: F.when(part, cut).otherwise(F.col(text))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("take") < F.col("mix_tokens"), F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(part, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own[docs.columns.index("n_chars")]))
+    return joined.select(*(changed.get(c, F.col(o)).alias(c) for c, o in zip(docs.columns, own)))
