@@ -32,7 +32,8 @@ def write_archive(
     largest id is a response and the others revisit it; all others are responses. A null
     payload is empty, a null url an empty target. Rows that repeat an id with an equal
     payload: one of them is the response if the id is the largest. Rows with a null id are
-    records too; null counts as the smallest id. Other columns are not read.
+    records too; null counts as the smallest id. Carriage returns and line feeds are taken out
+    of urls, as a header field cannot hold them. Other columns are not read.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8") if dict(pages.dtypes)[payload_col] == "string" else F.coalesce(F.col(payload_col), F.unhex(F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
@@ -62,11 +63,12 @@ def write_archive(
     )
     both.select("id", "digest", head.alias("head"), block.alias("block")).write.option("compression", "zstd").parquet(f"{path}/records")
 
-    # One row a digest: payloads of the owners, by id and so without a hot key.
-    owners = owner.select(F.col("owner").alias("id"), "digest")
-    match = F.col("p.id").eqNullSafe(F.col("o.id")) & (F.col("p.digest") == F.col("o.digest"))
-    kept = named.select("id", "digest", "payload").alias("p").join(owners.alias("o"), match, "left_semi").dropDuplicates(["id", "digest"])
-    kept.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # One row a digest: payloads of the owners, by id and so without a hot key. Both steps are
+    # by the same two columns, so payloads are exchanged once.
+    stored = named.select("id", "digest", "payload")
+    kept = stored.where("id is not null").join(owner.select(F.col("owner").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    nameless = stored.where("id is null").join(owner.where("owner is null").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    kept.unionByName(nameless).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     release(index)
 
 
@@ -97,23 +99,33 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """Every original record, ``(id, record_type, record)``: header and block header as they
     were written, the payload of responses joined in by digest, and the end of the record.
     Revisits have no payload in their block and need no join."""
-    rows = headers(spark, path).select("id", "digest", "record_type", "head", "block")
+    return _records(spark, path).select("id", "record_type", "record")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    rows = headers(spark, path).withColumn("lead", F.encode(F.concat("head", "block"), "utf-8")).drop("head", "block", "target_uri")
     tail = F.encode(F.lit(CRLF + CRLF), "utf-8")
-    full = rows.where("record_type = 'response'").join(read_payloads(spark, path), "digest")
-    full = full.select("id", "record_type", F.concat(F.encode("head", "utf-8"), F.encode("block", "utf-8"), "payload", tail).alias("record"))
-    bare = rows.where("record_type <> 'response'").select("id", "record_type", F.concat(F.encode("head", "utf-8"), F.encode("block", "utf-8"), tail).alias("record"))
-    return full.unionByName(bare)
+    full = rows.where("record_type = 'response'").join(read_payloads(spark, path), "digest").withColumn("record", F.concat("lead", "payload", tail)).drop("payload")
+    bare = rows.where("record_type <> 'response'").withColumn("record", F.concat("lead", tail))
+    return full.unionByName(bare.select(*full.columns))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of each record, from
-    its header joined with length and SHA-1 of the payload bytes it names; an archive whose
-    header and payload disagree is an error."""
-    stored = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1("payload").alias("payload_digest"))
-    rows = headers(spark, path).join(stored, "digest", "left")
-    right = (F.col("payload_sha1") == F.col("payload_digest")) & (F.col("http_length") == F.col("payload_bytes"))
-    checked = F.when(F.coalesce(right, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record does not match its payload: "), "head")))
-    return rows.select(F.col("id").alias("page_id"), "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of each record: length
+    and SHA-1 of the payload in the record as it is put together again, for revisits those of the
+    response with that digest. A record that does not match its header is an error."""
+    rows = _records(spark, path)
+    size = F.octet_length("record") - F.octet_length("lead") - 2 * len(CRLF)
+    payload = F.substring(F.col("record"), F.octet_length("lead") + 1, size)
+    right = "payload_sha1 = payload_digest AND http_length = payload_bytes"
+    wrong = F.raise_error(F.concat(F.lit("record does not match its payload: "), "digest"))
+    checked = F.when(F.coalesce(F.expr(right), F.lit(False)), F.col("payload_digest")).otherwise(wrong).alias("payload_digest")
+    responses = rows.where("record_type = 'response'").select("id", "digest", "record_type", "refers_to", "payload_sha1", "http_length", size.cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
+    told = written(responses.select("id", "digest", "record_type", "refers_to", "payload_bytes", checked), "archive-told")
+    by_digest = told.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    again = headers(spark, path).where("record_type <> 'response'").select("id", "digest", "record_type", "refers_to", "payload_sha1", "http_length")
+    revisits = again.join(by_digest, "digest", "left").select("id", "record_type", "refers_to", "payload_bytes", checked)
+    return told.select(*revisits.columns).unionByName(revisits).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def archived(pages: DataFrame, **args) -> DataFrame:

@@ -10,7 +10,6 @@ directory, from its own upwards, that holds a licence file.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -196,6 +195,22 @@ def scan(docs: DataFrame, text_col: str = "text", notices: dict[str, list[str]]
     return docs.select(*kept).mapInArrow(run, f"{fields}, own_license string, own_score double, own_line long, is_license_file boolean")
 
 
+#: Directories up to this many (of paths and names, some hundred bytes each) are sent to all tasks.
+BROADCAST_DIRS = 20_000
+SALTS = 32
+
+
+def _looked_up(rows: DataFrame, nearest: DataFrame) -> DataFrame:
+    """``rows`` beside ``nearest`` of their directory. One directory may hold most rows, so these are
+    not dealt by directory: a small table is sent out, a larger one is joined in SALTS copies."""
+    nearest = written(nearest, "licenses-nearest")
+    if nearest.count() <= BROADCAST_DIRS:
+        return rows.join(F.broadcast(nearest), "dir", "left")
+    copies = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["dir", "salt"], "left").drop("salt")
+
+
 def licensed(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, path, own_license, own_score, own_line, is_license_file, license, license_dir,
     license_up)`` of each row: the licence of its own or of the nearest directory with a
@@ -204,6 +219,8 @@ def licensed(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: st
 
     Of several licence files in a directory the one most like a notice counts, ties by name. A
     null path is the top directory "". Paths are joined by directory, each distinct one once.
+    Repeated rows and ids are rows like any others; null and empty texts have no licence of their
+    own; an empty table gives no rows. Other columns are not read.
     """
     found = written(scan(docs.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text")), "text").drop("text"), "licenses")
     rows = found.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
@@ -214,19 +231,8 @@ def licensed(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: st
     dirs = rows.select("dir").distinct().select("dir", depth.alias("depth"), ups).withColumn("at", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth") - F.col("up")), "/"))
     nearest = dirs.join(files, "at").groupBy("dir").agg(F.min(F.struct("up", "at", "held")).alias("n"))
     own = F.col("own_license").isNotNull()
-    out = rows.join(nearest, "dir", "left").select(
+    out = _looked_up(rows, nearest).select(
         F.col("id").alias(id_col), "path", "own_license", "own_score", "own_line", "is_license_file",
         F.coalesce("own_license", "n.held").alias("license"), F.when(~own, F.col("n.at")).alias("license_dir"), F.when(~own, F.col("n.up").cast("long")).alias("license_up"),
     )
     return out
-
-
-def reference_cosine(text: str, notice: str, idf: dict[str, float], rare: float) -> float:
-    """The cosine of two texts by plain counting, for tests."""
-    import re
-
-    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-    a, b = (Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))) for t in (text, notice))
-    weight = lambda w: idf.get(w, rare)
-    size = lambda c: sum((n * weight(w)) ** 2 for w, n in c.items()) ** 0.5
-    return sum(n * b[w] * weight(w) ** 2 for w, n in a.items() if w in b) / (size(a) * size(b)) if a and b else 0.0

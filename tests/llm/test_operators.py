@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import archive, decontaminate, fingerprint, graph, language, licenses, mixing_lm, mixture, near_dups, quality, queries, rans, token_files
+from quillspark.llm import archive, decontaminate, fingerprint, graph, language, licenses, mixing_lm, mixture, near_dups, quality, queries, rans, store, token_files
 from quillspark.llm.textkit import ALNUM, SPACED, Words, shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, sid string, key string"
@@ -397,6 +397,14 @@ def test_archive(spark, tmp_path):
     assert archive.archived(pages.where("false")).count() == 0
 
 
+def reference_cosine(text: str, notice: str, idf: dict[str, float], rare: float) -> float:
+    """The cosine of two texts by plain counting."""
+    a, b = (Counter(words(t, ALNUM_WORDS)) for t in (text, notice))
+    weight = lambda w: idf.get(w, rare)
+    size = lambda c: sum((n * weight(w)) ** 2 for w, n in c.items()) ** 0.5
+    return sum(n * b[w] * weight(w) ** 2 for w, n in a.items() if w in b) / (size(a) * size(b)) if a and b else 0.0
+
+
 def test_licenses(spark, none):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/one.py", "code here\nand more"), ("a/b/two.py", "# Licensed under the Apache License, Version 2.0.\ncode " * 1 + "x " * 500), ("a/b/c/deep.py", "text"), ("d/none.py", None), ("top.py", ""),
@@ -416,7 +424,7 @@ def test_licenses(spark, none):
     held = Counter(w for x in lines for w in set(words(x, ALNUM_WORDS)))
     vocabulary = {w for ts in licenses.NOTICES.values() for t in ts for w in words(t, ALNUM_WORDS)}
     idf = {w: math.log((len(lines) + 1) / (held[w] + 1)) + 1 for w in vocabulary}
-    best = max(licenses.reference_cosine("# Licensed under the Apache License, Version 2.0.", t, idf, math.log(len(lines) + 1) + 1) for t in licenses.NOTICES["Apache-2.0"])
+    best = max(reference_cosine("# Licensed under the Apache License, Version 2.0.", t, idf, math.log(len(lines) + 1) + 1) for t in licenses.NOTICES["Apache-2.0"])
     assert abs(best - got[2]["own_score"]) < 1e-9
 
 
@@ -566,3 +574,104 @@ def test_license_texts_and_windows(spark):
         assert (got[f"{name}/x/code.py"]["license"], got[f"{name}/x/code.py"]["license_up"]) == (name, 1)
     assert {(got[p]["own_license"], got[p]["is_license_file"]) for p in ("w/one.py", "w/two.py")} == {("Apache-2.0", False)}
     assert got["w/one.py"]["own_line"] == 0 and all(got[p]["license"] is None for p, _ in filler)
+
+
+def thue_morse(n):
+    """Two words of 2 ** n letters that every polynomial hash modulo 2 ** 64 takes for one from n = 10 on."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_a_polynomial_hash_takes_for_one(spark, n):
+    from tokenizers import Tokenizer
+
+    texts = [f"{w} end of it" for w in thue_morse(n)]
+    rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    got = {r["doc_id"]: r["value"] for r in token_files.token_files(docs, queries.tokenizer_path()).collect()}
+    assert got == {i: zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in rows}
+    near = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, params=near_dups.Params(shingle=2)).collect()}
+    assert near == classes(rows, 2)
+    pair = near_dups.near_duplicates(spark.createDataFrame([(k, w) for k, w in enumerate(thue_morse(n))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in pair} == {0: 0, 1: 1}
+    assert len({r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}) == 2
+    scored = {r["doc_id"]: r for r in mixing_lm.score(docs, F.col("doc_id") == 1).collect()}
+    assert (scored[1]["n_known"], scored[4]["n_known"]) == (5, 4)
+
+
+def test_read_range(spark, docs, rows, monkeypatch):
+    """Any run of tokens is read from the checkpoint before it."""
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 30_000)
+    monkeypatch.setattr(rans, "LANES", 64)
+    path = store.scratch(spark, "range")
+    table = docs.where("doc_id is not null")
+    token_files.write_tokens(table, path, queries.tokenizer_path())
+    every = [i for r in token_files.read_tokens(spark, path).orderBy("start").collect() for i in r["ids"]]
+    for first, last in ((0, 10), (5_000, 5_001), (1_000, 40_000), (len(every) - 7, len(every) + 50), (9, 9)):
+        got = [i for r in token_files.read_range(spark, path, first, last).orderBy("start").collect() for i in r["ids"]]
+        assert got == every[first:last]
+    data = token_files.pack(np.arange(2, dtype="<i8").tobytes(), np.array([200_000, 100_000], "<u4").tobytes(), np.arange(300_000, dtype="<u4").astype("<u2").tobytes(), 1000, (t := rans.Table(np.bincount(np.arange(300_000, dtype="<u4").astype("<u2")))).to_bytes(), t)
+    assert token_files.between(data, 150_000, 290_000)[1].tolist() == np.arange(300_000, dtype="<u4").astype("<u2")[149_000:289_000].tolist()
+
+
+def test_mixture_with_repeated_ids_and_clashing_names(spark):
+    rows = [(k // 2, " ".join(f"w{k}x{j}" for j in range(1 + k % 15)), f"s{k % 3}", 7, "t", 1, 5, 9) for k in range(60)] + [(5, "same words here", "s0", 7, "t", 1, 5, 9)] * 3 + [(None, "a b", "s0", 7, "t", 1, 5, 9), (99, None, "s0", 7, "t", 1, 5, 9), (98, " ", "s0", 7, "t", 1, 5, 9)]
+    schema = "doc_id long, text string, source string, take long, mix_id string, n_tokens long, key long, n_chars long"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    total = sum(len((r[1] or "").split()) for r in rows if r[0] is not None)
+    for epochs, share in ((1, 0.6), (2, 1.4)):
+        out = mixture.mixed(docs, {"source": F.col("source")}, {}, share, max_epochs=epochs).collect()
+        assert sum(len(r["text"].split()) for r in out) == int(total * share)
+        texts = Counter(r[1] for r in rows if r[1])
+        for text, n in Counter(r["text"] for r in out).items():
+            assert n <= epochs * texts.get(text, 1)
+        assert all(r["take"] == 7 and r["mix_id"] == "t" and r["n_tokens"] == 1 and r["key"] == 5 and r["doc_id"] is not None for r in out)
+        assert [r["n_chars"] for r in out if r["n_chars"] != 9] == [len(r["text"]) for r in out if r["n_chars"] != 9]
+    assert mixture.mixed(docs.where("false"), {"source": F.col("source")}, {}, 0.5).count() == 0
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three four", 7, "x", 5, 3), (2, None, 8, "y", 6, 3), (2, "", 8, "y", 6, 3)], "doc_id long, text string, bench_words int, bench_note string, bench_spans int, own_1 int")
+    bench = spark.createDataFrame([("b", "two three"), ("b", "two three"), ("c", "two three")], "item_id string, text string")
+    for remove, texts in (("documents", ["", None]), ("spans", ["", "one  four", None]), ("both", ["", None])):
+        got = decontaminate.decontaminated(docs, bench, remove=remove).collect()
+        assert sorted((r["text"] for r in got), key=lambda t: (t is None, t)) == texts
+        assert all(r.asDict().keys() == set(docs.columns) and r["bench_words"] == 6 + r["doc_id"] and r["own_1"] == 3 for r in got)
+    found = {r["doc_id"]: r for r in decontaminate.scan(docs, bench).where("text <> ''").collect()}
+    assert found[1]["bench_items"] == ["b", "c"] and found[1]["bench_note"] == "x" and found[1]["own_1"] == 3
+
+
+def test_window_set_is_small():
+    rng = random.Random(1)
+    items = [(str(k), " ".join(f"{rng.randrange(10**5):05d}" for _ in range(2000))) for k in range(100)]
+    made = decontaminate.WindowSet(items, 13)
+    size = made.text.nbytes + made.place.nbytes + sum(a.nbytes + b.nbytes for a, b, _ in made.lengths.values())
+    assert size < 4 * sum(len(t) for _, t in items)
+
+
+def test_licenses_in_a_hot_directory(spark, monkeypatch):
+    rows = [("d/LICENSE", "Released under the MIT License.")] + [(f"d/{k}", "code") for k in range(200)] + [("e/x", "code")]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    monkeypatch.setattr(licenses, "BROADCAST_DIRS", 0)
+    got = licenses.licensed(docs, F.col("path")).collect()
+    assert Counter((r["license"], r["license_up"]) for r in got) == {("MIT", None): 1, ("MIT", 0): 200, (None, None): 1}
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "yarn", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": lambda self, *a: None})()
+
+    with pytest.raises(RuntimeError):
+        store.scratch(Session(), "t")
+    assert store.scratch(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
