@@ -56,6 +56,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def pieces_of(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a large binary array without nulls, and n + 1 offsets."""
+    _, offsets, data = names.buffers()
+    at = np.frombuffer(offsets, np.int64)[names.offset : names.offset + len(names) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None and len(names) else np.zeros(0, np.uint8)), at
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows, and n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,8 +93,7 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     finaliser, pieces of more than _LONG bytes through BLAKE2b."""
     size = np.asarray(end - start, np.int64)
     out = mix(size.astype(np.uint64) + _SEED)
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    lanes = _lanes(buf)
     at = np.flatnonzero(size <= _LONG)
     place, left = start[at], size[at]
     while len(at):
@@ -99,6 +105,26 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def same_bytes(one: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether one[start[i]:start[i] + size[i]] is other[at[i]:at[i] + size[i]]."""
+    x, y = _lanes(one), _lanes(other)
+    out = np.ones(len(start), bool)
+    open_, left = np.arange(len(start)), np.asarray(size, np.int64)
+    start, at = np.asarray(start, np.int64), np.asarray(at, np.int64)
+    while len(open_):
+        equal = (x[start] ^ y[at]) & _MASKS[np.minimum(left, 8)] == 0
+        out[open_[~equal]] = False
+        more = equal & (left > 8)
+        open_, start, at, left = open_[more], start[more] + 8, at[more] + 8, left[more] - 8
+    return out
+
+
 def binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
     """``data`` cut into pieces of these sizes."""
     offsets = np.zeros(len(size) + 1, np.int64)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .store import release, scratch, written
-from .textkit import binaries, slices, strings
+from .textkit import binaries, hashes, pieces_of, same_bytes, slices, strings
 
 MAGIC = b"QTOK1\0\0\0"
 _HEAD = struct.Struct("<8sQQQIIII")
@@ -40,7 +40,7 @@ BLOCK_TOKENS = 256 << 10
 #: in slices, and the sort may spill).
 PARTITION_BYTES, MOST_BYTES = 16 << 20, 256 << 20
 #: Pieces that are remembered at most, and bytes of them.
-CACHE_PIECES, CACHE_BYTES = 500_000, 32 << 20
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 32 << 20
 
 
 #: Classes of bytes for :func:`pieces`.
@@ -116,12 +116,12 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.pool, self.used, self.bytes = np.zeros(1 << 20, np.uint32), 0, 0
+        #: Sorted hashes of known pieces and their numbers; by number their bytes and ids.
+        self.names, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text, self.text_at = _Pool(np.uint8), _Pool(np.int64, 0)
+        self.ids, self.ids_at = _Pool(np.uint32), _Pool(np.int64, 0)
 
-    def _learn(self, words: list[bytes], letters: np.ndarray) -> None:
+    def _encoded(self, words: list[bytes], letters: np.ndarray) -> list[list[int]]:
         texts = [w.decode("utf-8", "replace") for w in words]
         ids: list[list[int]] = [[]] * len(texts)
         for kind in (True, False):
@@ -130,19 +130,40 @@ class Encoder:
                 part = which[k : k + 8192]
                 for i, found in zip(part, self._batch([texts[i].lower() if kind else texts[i] for i in part], kind)):
                     ids[i] = found
+        return ids
+
+    def _find(self, names: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of these pieces, -1 where not known; bytes are compared."""
+        out = np.full(len(names), -1)
+        if not len(self.names):
+            return out
+        place = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        hit = np.flatnonzero(self.names[place] == names)
+        number, size = self.number[place[hit]], np.diff(at)[hit]
+        known = self.text_at.data[number]
+        same = self.text_at.data[number + 1] - known == size
+        hit, number, known, size = hit[same], number[same], known[same], size[same]
+        right = same_bytes(buf, at[:-1][hit], self.text.data, known, size)
+        out[hit[right]] = number[right]
+        return out
+
+    def _learn(self, names: np.ndarray, words: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Their new numbers. Of pieces with one hash only the first is found again later."""
+        buf, at = pieces_of(words)
+        ids = self._encoded(words.to_pylist(), letters)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, before = int(size.sum()), len(self.known)
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used) + 1, np.uint32)])
-        if before + len(words) > len(self.start):
-            more = np.zeros(max(len(words), before), np.int64)
-            self.start, self.size = np.concatenate([self.start[:before], more]), np.concatenate([self.size[:before], more])
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.start[before : before + len(words)] = self.used + np.cumsum(size) - size
-        self.size[before : before + len(words)] = size
-        self.known.update(zip(words, range(before, before + len(words))))
-        self.used += total
-        self.bytes += sum(map(len, words))
+        number = np.arange(len(self.ids_at) - 1, len(self.ids_at) - 1 + len(ids))
+        self.text_at.add(len(self.text) + at[1:] - at[0])
+        self.text.add(buf[at[0] : at[-1]])
+        self.ids_at.add(len(self.ids) + np.cumsum(size))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+        fresh, first = np.unique(names, return_index=True)
+        place = np.searchsorted(self.names, fresh)
+        new = np.ones(len(fresh), bool)
+        if len(self.names):
+            new = self.names[np.minimum(place, len(self.names) - 1)] != fresh
+        self.names, self.number = np.insert(self.names, place[new], fresh[new]), np.insert(self.number, place[new], number[first[new]])
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and how many each row has. Pieces are told apart by their bytes."""
@@ -151,20 +172,41 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = binaries(buf[_KIND[buf] != _SPACE], ends - starts).dictionary_encode()
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_PIECES or self.bytes > CACHE_BYTES:
+        at, words = coded.indices.to_numpy(), coded.dictionary
+        if len(self.ids_at) > CACHE_PIECES or len(self.text) > CACHE_BYTES:
             self._reset()
-        fresh = [k for k, w in enumerate(words) if w not in self.known]
-        if fresh:
+        data, places = pieces_of(words)
+        names = hashes(data, places[:-1], places[1:])
+        number = self._find(names, data, places)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
             first = np.empty(len(words), np.int64)
             first[at[::-1]] = np.arange(len(at))[::-1]
-            self._learn([words[k] for k in fresh], letters[first[fresh]])
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[at]
-        size = self.size[place]
+            number[fresh] = self._learn(names[fresh], words.take(pa.array(fresh)), letters[first[fresh]])
+        place = number[at]
+        start = self.ids_at.data[place]
+        size = self.ids_at.data[place + 1] - start
         stops = np.cumsum(size)
-        spots = np.arange(stops[-1]) + np.repeat(self.start[place] - (stops - size), size)
+        spots = np.arange(stops[-1]) + np.repeat(start - (stops - size), size)
         bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
-        return self.pool[spots], np.diff(bounds)
+        return self.ids.data[spots], np.diff(bounds)
+
+
+class _Pool:
+    """An array that grows at its end; ``data`` has room behind its ``len``."""
+
+    def __init__(self, kind: type, *first: int):
+        self.data, self.used = np.zeros(1 << 16, kind), len(first)
+        self.data[: len(first)] = first
+
+    def __len__(self) -> int:
+        return self.used
+
+    def add(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(len(more), self.used), self.data.dtype)])
+        self.data[self.used : self.used + len(more)] = more
+        self.used += len(more)
 
 
 _encoders: dict[str, Encoder] = {}
