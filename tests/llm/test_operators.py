@@ -441,7 +441,7 @@ def test_lm_base_and_model(spark, docs, rows, none):
         want = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(count[w] > 0 for w in own), total)
         assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
-        assert math.isfinite(r["score"]) and r["score"] < 0
+        assert math.isfinite(r["score"]) and r["score"] < 0 and r["base_bits"] >= -want * math.log2(10) - 1e-6
     again = {r["doc_id"]: r["score"] for r in mixing_lm.score(docs.repartition(2), train).collect()}
     assert all(math.isclose(again[r["doc_id"]], r["score"], rel_tol=1e-6) for r in got)
     assert mixing_lm.score(none, train).count() == 0
@@ -449,48 +449,83 @@ def test_lm_base_and_model(spark, docs, rows, none):
 
 def _small_lm(names: list[bytes]) -> mixing_lm.Model:
     rng = np.random.default_rng(3)
-    hashed = mixing_lm.Words(pa.array([b" ".join(names)], pa.binary()), mixing_lm.SPACED).hash
-    codes = mixing_lm.Codes(hashed, rng.integers(2, 100, len(names)), 7, 9, rng.integers(0, 100, 257))
-    tables = [(rng.integers(-40, 40, 1 << mixing_lm.SLOTS) * 4 + rng.integers(0, 4, 1 << mixing_lm.SLOTS)).astype(np.int16) for _ in range(2)]
-    return mixing_lm.Model(codes, tables, rng.uniform(0, 1, (mixing_lm.GATES, mixing_lm.INPUTS)))
+    hashed = (Words(pa.array([b" ".join(names)], pa.binary()), SPACED).hash >> np.uint64(64 - mixing_lm.NEXT_BITS)).astype(np.int64)
+    n = len(names)
+    follow = np.concatenate([np.roll(hashed, 1), [0, 0, hashed[0]]])
+    level = np.concatenate([rng.integers(0, mixing_lm.LEVELS, n), [0, 0, 3]])
+    codes = mixing_lm.Codes(pa.array(names, pa.large_binary()), rng.integers(2, 100, n), 7, 9, rng.integers(0, 100, 257), follow, level, rng.uniform(-3, 3, mixing_lm.LEVELS))
+    tables = [(rng.integers(-40, 40, 1 << bits) * 4 + rng.integers(0, 4, 1 << bits)).astype(np.int16) for bits in mixing_lm.SLOTS]
+    return mixing_lm.Model(codes, tables, (rng.uniform(0, 1, (8, 2)), rng.uniform(0, 1, (16, 3))))
+
+
+def _lm_scores(model, texts):
+    tokens = mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes)
+    word, space, _ = model.costs(tokens)
+    return np.add.reduceat(space + model.given(tokens, word), tokens.first[:-1])
+
+
+def _mixed_plainly(decisions, rate):
+    """Costs of decisions (weighted log-odds of the bit that came), one at a time."""
+    scale, step, out = None, None, []
+    for k, x in enumerate(decisions):
+        scale = scale or [1.0] * len(x)
+        if k % mixing_lm.STEP == 0:
+            scale, step = [s + rate * g for s, g in zip(scale, step or [0.0] * len(x))], [0.0] * len(x)
+        z = max(-12, min(12, sum(s * v for s, v in zip(scale, x))))
+        out.append(-math.log1p(math.exp(-z)))
+        step = [g + v / (1 + math.exp(z)) for g, v in zip(step, x)]
+    return out
 
 
 def test_lm_is_a_distribution():
-    """The codes are complete and a text's probability is the product of plainly mixed decisions."""
+    """The codes are complete, and a text's probability is the product of plainly mixed decisions."""
     names = [f"w{k}".encode() for k in range(40)]
     model = _small_lm(names)
-    for code in (model.codes.words, model.codes.letters):
+    codes = model.codes
+    for code in (codes.words, codes.letters):
         assert sum(0.5 ** np.diff(code.first)) == 1.0
         assert len({tuple(code.bit[a:b].tolist()) for a, b in zip(code.first, code.first[1:])}) == len(code.first) - 1
     # Every text of at most one byte, and some of a word: no more than all probability.
     texts = [b""] + [bytes([b]) for b in range(256) if not 65 <= b <= 90] + names + [b"w1 " + x for x in names]
-    assert sum(10.0 ** model.mix(mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes))[0]) < 1.0
-    # Against a plain, one-decision-at-a-time form.
-    texts = [b"w1 w2  zz w3\n", b"", b"  \t", b"\xc3\xa9 w1", b"w7 " * 300, b"zz"]
-    got = model.mix(mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes))[0]
-    for text, score in zip(texts, got):
-        tokens = mixing_lm.Tokens(pa.array([text], pa.binary()), model.codes)
-        total = model.codes.words.tail[tokens.symbol].sum()
-
-        def plain(made, k, scale):
-            b, c = (int(t[slot[k]]) for t, slot in zip(model.tables, made.slots))
-            sign = 2.0 * made.bit[k] - 1
-            return [w * x * s * sign for w, x, s in zip(model.weights[16 * made.sort[k] + 4 * (b & 3) + (c & 3)], (made.odds[k], (b >> 2) / 16, (c >> 2) / 16), scale)]
-
-        for u in tokens.used:
-            made = tokens.spelled(model.codes, u, u + 1)
-            total -= sum(math.log1p(math.exp(-max(-12, min(12, sum(plain(made, k, [1] * 3)))))) for k in range(len(made.bit)))
-        for a in range(0, len(tokens.symbol), mixing_lm.LANE):
-            made = tokens.decisions(model.codes, a, min(a + mixing_lm.LANE, len(tokens.symbol)))
-            scale, step = [1.0] * 3, [0.0] * 3
+    assert np.exp(_lm_scores(model, texts)).sum() < 1.0
+    texts = [b"w1 w2  zz w3\n", b"", b"  \t", b"\xc3\xa9 w1", b"w7 " * 300, b"zz", b"w3 w2 w1 w0 w39 w38"]
+    for text, score in zip(texts, _lm_scores(model, texts)):
+        tokens = mixing_lm.Tokens(pa.array([text], pa.binary()), codes)
+
+        def plain(made, spelled):
             for k in range(len(made.bit)):
-                if k % mixing_lm.STEP == 0:
-                    scale, step = [s + mixing_lm.RATE * g for s, g in zip(scale, step)], [0.0] * 3
-                x = plain(made, k, [1] * 3)
-                z = max(-12, min(12, sum(s * v for s, v in zip(scale, x))))
-                total -= math.log1p(math.exp(-z))
-                step = [g + v / (1 + math.exp(z)) for g, v in zip(step, x)]
-        assert math.isclose(total / math.log(10), score, rel_tol=1e-4)
+                found = [int(t[slot[k]]) for t, slot in zip(model.tables[1:] if spelled else model.tables, made.slots)]
+                gate = int(made.sort[k])
+                for x in found:
+                    gate = 4 * gate + (x & 3)
+                sign = 2.0 * made.bit[k] - 1
+                yield [w * x * sign for w, x in zip(model.weights[spelled][gate], [float(made.odds[k]), *((x >> 2) / 16 for x in found)])]
+
+        n = len(tokens.symbol)
+        made = tokens.decisions(codes, 0, n)
+        costs = _mixed_plainly(plain(made, False), mixing_lm.RATE)
+        word, space = [0.0] * n, [0.0] * n
+        for owner, sort, c in zip(made.owner.tolist(), made.sort.tolist(), costs):
+            (space if sort == mixing_lm.SPACE else word)[owner] += c
+        letters = tokens.letters(codes, 0, len(tokens.piece_start))
+        piece = [0.0] * len(tokens.piece_start)
+        for owner, x in zip(letters.owner.tolist(), plain(letters, True)):
+            piece[owner] += _mixed_plainly([x], 0)[0]
+        for at, which in zip(tokens.spelled.tolist(), tokens.spelled_as.tolist()):
+            word[at] += piece[which]
+        for at, which in zip(tokens.spaced.tolist(), tokens.spaced_as.tolist()):
+            space[at] += piece[which]
+        ahead, last = [], 0
+        for k in range(n):
+            before = int(tokens.before[k])
+            if codes.level[before]:
+                right = bool(codes.follow[before] == tokens.next[k])
+                a, b = ([1.0, 0.0], [1.0, -0.5], [1.0, 1.5])[last]
+                ahead.append((k, right, [(2 * right - 1) * a * codes.sure[codes.level[before]], (2 * right - 1) * b]))
+                last = 1 + right
+        for (k, right, _), c in zip(ahead, _mixed_plainly([x for _, _, x in ahead], mixing_lm.NEXT_RATE)):
+            word[k] = c if right else c + word[k]
+        assert math.isclose(sum(word) + sum(space), score, rel_tol=1e-4)
 
 
 def test_lm_spells_what_a_token_does_not_say():
@@ -498,10 +533,40 @@ def test_lm_spells_what_a_token_does_not_say():
     model = _small_lm([b"w1", b"w2"])
     tokens = mixing_lm.Tokens(pa.array([b"w1 w2", b" w1\nzz  zz ", None, b"ZZ"], pa.binary()), model.codes)
     assert tokens.odd.tolist() == [False] * 3 + [True, True, True, True] + [False] * 3
-    spelled = [(tokens.words.buf[a:b].tobytes(), int(n)) for a, b, n in zip(tokens.piece_start, tokens.piece_end, np.bincount(tokens.used))]
+    spelled = [(tokens.words.buf[a:b].tobytes(), int(n)) for a, b, n in zip(tokens.piece_start, tokens.piece_end, tokens.uses())]
     assert sorted(spelled) == [(b"\n", 1), (b" ", 2), (b"  ", 1), (b"zz", 3)]
 
 
+def test_lm_counts_what_follows(spark, docs, rows):
+    """The table of followers and the hit rates of its levels, against plain counts."""
+    learned = docs.where("doc_id % 2 = 0")
+    follows = mixing_lm.pairs(learned)
+    plain = defaultdict(Counter)
+    for r in rows:
+        if r[0] % 2 == 0:
+            own = words(r[1])
+            for a, b in zip([None, *own], [*own, None]):
+                plain[a][b] += 1
+    hashed = {w: int(Words(pa.array([w]), SPACED).hash.view(np.int64)[0]) for c in plain.values() for w in c if w is not None}
+    after = {w: (h % 2**64) >> 64 - mixing_lm.NEXT_BITS for w, h in hashed.items()} | {None: mixing_lm._END}
+    got = {r["name"]: (r["n"], r["top"]) for r in follows.collect()}
+    want = {(mixing_lm._START if w is None else hashed[w]): (sum(c.values()), max((n << mixing_lm.NEXT_BITS) + after[x] for x, n in c.items())) for w, c in plain.items()}
+    assert got == want
+    sure = mixing_lm._sure(follows)
+    alone = [(c.most_common(1)[0][1], sum(c.values())) for c in plain.values()]
+    hits, tries = sum(c for c, n in alone if c == n > 16), sum(c for c, n in alone if c == n > 16)
+    assert sure[0] == 0 and (not tries or math.isclose(sure[24], math.log((hits + 0.5) / 0.5)))
+
+
+def test_lm_knows_a_copy_of_a_training_text(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:250])] + [(1000 + k, t) for k, t in enumerate(texts[:20])] + [(2000 + k, t) for k, t in enumerate(texts[250:])], "doc_id long, text string")
+    got = {r["doc_id"]: r["bits_per_byte"] for r in mixing_lm.score(docs, F.col("doc_id") < 250).collect()}
+    assert max(got[1000 + k] for k in range(20)) < 0.5 * min(got[2000 + k] for k in range(50))
+
+
 def test_lm_learns(spark):
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(n))
@@ -511,29 +576,6 @@ def test_lm_learns(spark):
     assert sum(bits(got[k], 200) for k in range(150, 200)) / 50 < 1.6 < 4 < bits(got[1000], 130)
 
 
-def test_lm_mixes_every_decision(monkeypatch):
-    """Deep decisions of a rare word see the tables, and the factors are carried past 64 tokens."""
-    n = 6000
-    hashed = mixing_lm.Words(pa.array([" ".join(f"w{k}" for k in range(n))]), mixing_lm.SPACED).hash
-    codes = mixing_lm.Codes(hashed, np.where(np.arange(n) < 5, 10**6, 2), 7, 9, np.ones(257, np.int64))
-    depth = np.diff(codes.words.first)
-    tokens = mixing_lm.Tokens(pa.array(["w0 w5000"]), codes)
-    assert depth[tokens.symbol[1]] > 12
-    made = tokens.decisions(codes, 0, len(tokens.symbol))
-    assert len(made.bit) == (depth[tokens.symbol] + 1).sum()
-    tables = [np.zeros(1 << mixing_lm.SLOTS, np.int16) for _ in range(2)]
-    model = mixing_lm.Model(codes, tables, np.ones((mixing_lm.GATES, mixing_lm.INPUTS)))
-    before = model.mix(tokens)[0][0]
-    deep = np.flatnonzero((made.owner == 1) & (made.sort == mixing_lm.WORD))[12:]
-    tables[0][made.slots[0][deep]] = np.where(made.bit[deep] == 1, 160, -160) * 4 + 3
-    assert model.mix(tokens)[0][0] > before + 1
-    long, short = (mixing_lm.Tokens(pa.array(["w3 " * k]), codes) for k in (1280, 64))
-    carried, fresh = (model.mix(t)[0][0] for t in (long, short))
-    monkeypatch.setattr(mixing_lm, "RATE", 0.0)
-    flat_long, flat_short = (model.mix(t)[0][0] for t in (long, short))
-    assert carried - flat_long > 1.5 * 20 * (fresh - flat_short)
-
-
 def test_lm_gives_bits_per_byte(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "né á  the"), (3, ""), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in mixing_lm.score(docs, F.lit(True)).collect()}
