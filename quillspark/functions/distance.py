@@ -8,25 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def prefix_edit_distance_le(query: str, key: str, most: int) -> bool:
-    """Whether some prefix of ``key`` is within ``most`` edits of ``query``, by code points."""
-    best = list(range(len(query) + 1))
-    if best[-1] <= most:
-        return True
-    for j, char in enumerate(key, 1):
-        row = [j]
-        for i, own in enumerate(query, 1):
-            row.append(min(best[i] + 1, row[i - 1] + 1, best[i - 1] + (own != char)))
-        best = row
-        if best[-1] <= most:
-            return True
-        if min(best) > most:
-            return False
-    return False
-
-
 def prefix_within(key: Column, query: Column, most: int) -> Column:
-    """The same as a predicate without a UDF. A prefix within ``most`` edits differs in length by
+    """Whether some prefix of ``key`` is within ``most`` edits of ``query``, by code points. A prefix within ``most`` edits differs in length by
     at most that, so 2 * most + 1 prefixes decide; levenshtein stops at the threshold."""
     size = F.char_length(query)
     tries = [F.levenshtein(F.substring(key, F.lit(1), F.greatest(size + d, F.lit(0))), query, most) >= 0 for d in range(-most, most + 1)]

@@ -60,14 +60,33 @@ def _fold_udf(texts: pd.Series) -> pd.Series:
     return texts.map(normalize, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_all_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [normalize(t) for t in texts], na_action="ignore")
+
+
 _ASCII_SPACE = r" \t\n\x0B\f\r"
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _fold_ascii(text: Column) -> Column:
+    kept = F.regexp_replace(F.lower(text), rf"[^a-z0-9{_ASCII_SPACE}\-.,()/]+", "")
+    return F.trim(F.regexp_replace(kept, rf"[{_ASCII_SPACE}\-.,()/]+", " "))
+
+
 def normalize_col(text: Column | str) -> Column:
     """The fold of a column; null stays null. ASCII rows are folded in the JVM and reach Python
     as nulls, so only other rows pay for the UDF's work."""
     text = F.col(text) if isinstance(text, str) else text
-    ascii_ = F.octet_length(text) == F.char_length(text)
-    kept = F.regexp_replace(F.lower(text), rf"[^a-z0-9{_ASCII_SPACE}\-.,()/]+", "")
-    simple = F.trim(F.regexp_replace(kept, rf"[{_ASCII_SPACE}\-.,()/]+", " "))
-    return F.when(ascii_, simple).otherwise(_fold_udf(F.when(~ascii_, text)))
+    return F.when(_ascii(text), _fold_ascii(text)).otherwise(_fold_udf(F.when(~_ascii(text), text)))
+
+
+def normalize_array(texts: Column | str) -> Column:
+    """The folds of an array's strings, null ones empty; a null array stays null."""
+    texts = F.col(texts) if isinstance(texts, str) else texts
+    texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    plain = F.forall(texts, _ascii)
+    return F.when(plain, F.transform(texts, _fold_ascii)).otherwise(_fold_all_udf(F.when(~plain, texts)))

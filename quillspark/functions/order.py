@@ -34,8 +34,3 @@ def parse_unsigned(text: Column) -> Column:
 def merit(rank: Column | str = "rank", payload: Column | str = "payload") -> Column:
     """Sorts the better record first: ~rank falls as rank rises, without overflow."""
     return F.struct(F.bitwise_not(rank).alias("worse"), F.col(payload).alias("payload") if isinstance(payload, str) else payload)
-
-
-def outranks(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
-    """Whether (rank, payload) a stands strictly before b."""
-    return (-a[0], a[1]) < (-b[0], b[1])

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from quillspark import EditBoundError, IndexBuilder, IndexFormatError, SuggestIndex
 from quillspark.adapters import delimited, variants
-from quillspark.functions.order import outranks, parse_unsigned, to_signed, to_unsigned
+from quillspark.operators import links, suggest
+from quillspark.functions.order import parse_unsigned, to_signed, to_unsigned
 
 
 def build(spark, rows):
@@ -100,6 +101,59 @@ def test_store_and_reopen(spark, cities, tmp_path):
         SuggestIndex.open(spark, path)
 
 
+def test_places_of_keys(spark, tmp_path, monkeypatch):
+    """The key at a place, found in memory step by step and by number in a stored index."""
+    monkeypatch.setattr(links, "FEW_KEYS", 2)
+    keys = sorted({"a", "ab", "abc", "abcd", "abce", "b", "ba", "é", "中", "z z"})
+    index = build(spark, [(k, k, b"p", [key]) for k, key in enumerate(keys)])
+    index.write(str(tmp_path / "k"))
+    stored = SuggestIndex.open(spark, str(tmp_path / "k"))
+    order = sorted(keys, key=lambda k: k.encode())
+    for n, key in enumerate(order):
+        assert index.posting(n) == stored.posting(n) == [keys.index(key)]
+    for one in (index, stored):
+        for bad in (-1, len(keys)):
+            with pytest.raises(IndexFormatError):
+                one.posting(bad)
+
+
+def test_broken_builds(spark, cities, tmp_path):
+    import shutil
+
+    path = tmp_path / "i"
+    builds = [cities.write(str(path))["build"] for _ in range(3)]
+    assert {p.name for p in path.iterdir() if p.is_dir()} == set(builds[1:])
+    for name in ("links", "covering", "keys", "records"):
+        shutil.copytree(path / builds[2] / name, tmp_path / "aside")
+        part = next((path / builds[2] / name).glob("part-*.parquet"))
+        part.unlink()
+        with pytest.raises(IndexFormatError):
+            SuggestIndex.open(spark, str(path))
+        shutil.rmtree(path / builds[2] / name)
+        shutil.move(tmp_path / "aside", path / builds[2] / name)
+    assert names(SuggestIndex.open(spark, str(path)), "ber", 1) == ["Berlin"]
+    dangling = SuggestIndex.from_frames(cities.records, cities.links.unionByName(spark.createDataFrame([("x", 99)], "key string, record_id long")), validate=False)
+    with pytest.raises(IndexFormatError):
+        dangling.write(str(path))
+    assert SuggestIndex.open(spark, str(path)).build_id == builds[2]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_batch_agrees_with_single_on_random_keys(spark, edits, monkeypatch):
+    import random
+
+    rng = random.Random(edits)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    index = build(spark, [(k % 37, rng.randrange(100), b"%d" % k, [word(rng.randrange(1, 9)) for _ in range(2)]) for k in range(120)])
+    asked = sorted({word(rng.randrange(1, 8)) for _ in range(40)})
+    frame = spark.createDataFrame([(a,) for a in asked], "prefix string")
+    for most in (100_000, 3):
+        monkeypatch.setattr(suggest, "BROADCAST_QUERIES", most)
+        got = index.suggest_batch(frame, limit=3, max_edits=edits).orderBy("prefix", "pos").collect()
+        for a in asked[::4]:
+            assert [(r["rank"], r["group"], bytes(r["payload"])) for r in got if r["prefix"] == a] == index.suggest_rows(a, 3, edits), a
+
+
 @pytest.mark.parametrize("edits", [0, 1, 2])
 def test_batch_agrees_with_single(spark, cities, edits):
     asked = ["ber", "Ber", "b", "pariz", "zz", "", "-", "bergen"]
@@ -130,4 +184,3 @@ def test_unsigned_numbers(spark):
     texts = ["0", "+7", str(2**64 - 1), str(2**64), " 5", "5 ", "-1", "1.0", "", "9" * 60]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_unsigned(F.col("t")).alias("n")).collect()
     assert [None if r[0] is None else to_unsigned(r[0]) for r in got] == [0, 7, 2**64 - 1] + [None] * 7
-    assert outranks((2, b"z"), (1, b"a")) and outranks((1, b"a"), (1, b"b")) and not outranks((1, b"a"), (1, b"a"))
