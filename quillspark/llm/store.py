@@ -1,46 +1,16 @@
 """Tables that an operator writes between its steps.
 
-They go to the folder that ``spark.checkpoint.dir`` names (or setCheckpointDir() was given),
-which the driver and all executors share, so a lost executor costs a re-read and never a
-recomputation from lost local files. Where neither is set, a local master gets a local folder
-and any other is an error: executors would write to disks of their own. Each application has a
-folder of its own there, which goes when its driver ends.
+They go to the folder that the driver and all executors share, see :func:`..runtime.scratch`,
+so a lost executor costs a re-read and never a recomputation from lost local files.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DIR = "file:///tmp/checkpoints"
-
-
-_homes: dict[str, str] = {}
-
-
-def _home(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = LOCAL_DIR
-    key = f"{context.applicationId} {base}"
-    if key not in _homes:
-        path = f"{base.rstrip('/')}/{context.applicationId}"
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(target)
-        files.deleteOnExit(target)
-        _homes[key] = path
-    return _homes[key]
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{_home(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+from ..runtime import scratch
 
+__all__ = ["release", "scratch", "table", "written"]
 
 def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder, and the frame that reads it.
