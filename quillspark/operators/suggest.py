@@ -20,7 +20,7 @@ from ..schema import DEFAULT_LIMIT, MAX_EDITS, EditBoundError
 
 CORE = ("rank", "group", "payload")
 #: Queries up to this many are sent to every task.
-BROADCAST_QUERIES = 100_000
+BROADCAST_QUERIES = 50_000
 #: Queries (or their first characters) that are handed to the scan.
 FEW_QUERIES = 200
 

@@ -209,11 +209,14 @@ FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationk
 @query("suggest_geo_nation", f"""WITH best AS (SELECT DISTINCT grp, rank, payload FROM ({_NATION}) WHERE starts_with(key, 'a'))
 SELECT grp AS gid, payload AS name, CAST(grp AS DOUBLE) AS lat, 0.0::DOUBLE AS lon, '' AS country, rank AS population, 'PCLI' AS feature_code FROM best""")
 def suggest_geo_nation(spark, sf_dir):
+    return nation_index(spark, sf_dir).suggest_geo("A", 1000)
+
+
+def nation_index(spark: SparkSession, sf_dir: str) -> SuggestIndex:
     customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("population"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(customers, "n_nationkey", "left")
     places = nations.select(F.col("n_nationkey").cast("long").alias("record_id"), F.col("n_nationkey").cast("long").alias("gid"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.lit("").alias("country"), F.coalesce("population", F.lit(0)).alias("population"), F.lit("PCLI").alias("feature_code"), F.array("n_name", "r_name").alias("aliases"))
-    index = SuggestIndex.from_frames(geo.records(places), L.alias_links(places, "aliases", "name"))
-    return index.suggest_geo("A", 1000)
+    return SuggestIndex.from_frames(geo.records(places), L.alias_links(places, "aliases", "name"))
 
 
 _PRODUCT = f"SELECT unnest([{_fold('p_name')}, {_fold('''p_name || ' ' || p_brand''')}]) AS key, p_partkey AS grp, CAST(p_size AS BIGINT) AS rank, p_name AS payload FROM part"
@@ -227,7 +230,7 @@ def suggest_products_variants(spark, sf_dir):
     return hits.select("rank", "group", variants.decode("payload", "name string")["name"].alias("name"))
 
 
-@query("geo_payload_roundtrip")
+@query("geo_payload_roundtrip", """SELECT c_custkey AS gid, c_name AS name, c_acctbal / 100 AS lat, -c_acctbal AS lon, c_mktsegment AS country, c_custkey AS population, 'PPL' AS feature_code FROM customer""")
 def geo_payload_roundtrip(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group"), F.col("c_custkey").alias("rank"), (F.col("c_acctbal") / 100).alias("lat"), (-F.col("c_acctbal")).alias("lon"), F.col("c_mktsegment").alias("country"), F.lit("PPL").alias("feature_code"), F.col("c_name").alias("name"))
     packed = rows.select("group", "rank", geo.encode().alias("payload"))

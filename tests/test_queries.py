@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspark.plans.queries import ORACLE, QUERIES
+from quillspark.plans.surface import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
