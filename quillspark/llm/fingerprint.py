@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .textkit import ALNUM, Words, mix, slices
 from .token_files import partitions
 
-SALTS, LEVELS = 8, 10
+SALTS, LEVELS = 16, 10
 #: Terms in at least 1 in 4000 documents and at most 1 in 10: with an average of d distinct
 #: terms a document the lexicon has at most 4000 d entries, whatever the number of documents.
 IDF_BAND = (math.log(10), math.log(4000))

@@ -13,15 +13,33 @@ from .store import table
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share 80 % of their two-word shingles. Null and empty texts are
+    alone; equal rows are one node, see :func:`.near_dups.near_duplicates`."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), params=near_dups.Params(shingle=2))
 
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE: dict[str, str] = {
+    "op10_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS sh FROM d, unnest(range(1, greatest(len(w), 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 80 * (a.n + b.n - both)),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = doc_id
+""",
+}
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document. Null and empty texts have no words and no hits; repeated
+    rows are rows like any others; an empty benchmark hits nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,7 +52,6 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE["op1_benchmark_decontamination"] = f"""
 WITH d AS (SELECT doc_id, coalesce({_ALNUM.format("text")}, []) AS w FROM documents),
@@ -67,6 +84,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back. Null and empty texts have the end id
+    alone; rows that share an id follow one another by text; rows with a null id are left out."""
     read = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
     return read.withColumnRenamed("value", "ids_crc32")
 
@@ -75,6 +94,8 @@ QUERIES["op6_token_binary_output"] = op6_token_binary_output
 
 
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages, written and put together again. Null payloads are empty; of equal
+    rows one is the response."""
     return archive.archived(table(spark, sf_dir, "pages"))
 
 
@@ -108,6 +129,8 @@ MIXTURE_SHARE, MIXTURE_EPOCHS = 0.6, 2
 
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that meet the production mixture's budgets. Null sources and languages are nodes of
+    their own; null and empty texts have no tokens and are never taken."""
     return mixture.mix(table(spark, sf_dir, "documents"), mixture_levels(), MIXTURE_WEIGHTS, MIXTURE_SHARE, MIXTURE_EPOCHS)
 
 
@@ -115,6 +138,8 @@ QUERIES["op2_source_mixture"] = op2_source_mixture
 
 
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts. Null texts are empty; rows that
+    share an id stand in the order of their texts."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
@@ -127,6 +152,8 @@ def language_model(docs: DataFrame) -> language.Model:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the labelled ones that are not held out. Null texts
+    and texts without a letter are ``und``; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs.select("doc_id", "text"), language_model(docs))
     held_out = F.coalesce(language.remainder("doc_id", 3) == 1, F.lit(False))
@@ -137,6 +164,8 @@ QUERIES["op4_language_id"] = op4_language_id
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out. Null texts are empty; a
+    null id is held out, as it has no remainder."""
     docs = table(spark, sf_dir, "documents")
     return mixing_lm.score(docs, language.remainder("doc_id", 7) != 2)
 
@@ -145,9 +174,11 @@ QUERIES["op9_lm_scoring"] = op9_lm_scoring
 
 
 def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    """Quality scores of all documents, learned from the labels. Null texts, sources and languages
+    are values like any others; without labels of both kinds all scores are 0.5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).drop("text", "source", "lang")
+    return quality.score(docs, model).drop("text", "source", "lang", "n_chars")
 
 
 def document_path():
@@ -157,6 +188,8 @@ def document_path():
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents by notice, text or folder. Null and empty texts have none of their
+    own; a null source or language is a folder of its own."""
     return licenses.licensed(table(spark, sf_dir, "documents"), document_path())
 
 

@@ -717,3 +717,195 @@ def test_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         store.scratch(Session(), "t")
     assert store.scratch(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_mixture_takes_the_rows_that_come_first(spark, docs, rows):
+    """Which rows are chosen: a leaf's whole epochs, then the least seeded hashes up to its budget."""
+    levels, seed = {"source": F.col("source")}, 17
+    got = mixture.mix(docs, levels, {"source": {"src1": 2.0}}, 1.3, 3, seed=seed).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["mix_source"]] += r["take"]
+    leaves = defaultdict(list)
+    for r in rows:
+        n = len(re.findall(r"\S+", r[1] or ""))
+        if n:
+            leaves[r[3] or ""].append((r[0], n))
+    want = Counter()
+    for leaf, members in leaves.items():
+        whole, rest = divmod(taken[leaf], sum(n for _, n in members))
+        want.update((leaf, i, e, n, n) for i, n in members for e in range(whole))
+        keys = spark.createDataFrame(members, "id long, n long").select("id", "n", F.xxhash64(F.lit(seed), F.lit(whole), F.col("id")).alias("h")).collect()
+        for h, i, n in sorted((k["h"] % 2**64, k["id"], k["n"]) for k in keys):
+            if rest > 0:
+                want[leaf, i, whole, n, min(n, rest)] += 1
+            rest -= n
+    assert Counter((r["mix_source"], r["doc_id"], r["epoch"], r["n_tokens"], r["take"]) for r in got) == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_languages(rows):
+    """Error-correcting codes by plain counting: {doc_id: (language, score)}; rows are those of documents."""
+    fold = lambda t: bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in t.encode())
+
+    def grams(text):
+        data = fold(text)
+        for k, n in enumerate(language.ORDERS):
+            for i in range(len(data) - n + 1):
+                x = int.from_bytes(data[i : i + n], "little")
+                if data[i : i + n] != b" " * n:
+                    yield k, max((((x ^ (n * 0x51ED27)) * 0x9E3779B1) % 2**32) >> 17, 1)
+
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[1] is not None and r[2] is not None]
+    names = sorted({r[2] for r in taught})
+    code = language.codewords(len(names))
+    counts = defaultdict(Counter)
+    for r in taught:
+        counts[r[2]].update(grams(r[1]))
+    bits = range(code.shape[1])
+    side = {(b, s): sum((counts[x] for x, c in zip(names, code) if c[b] == s), Counter()) for b in bits for s in (1, -1)}
+    total = {(b, s, k): sum(n for (o, _), n in side[b, s].items() if o == k) + 0.5 * (language.BUCKETS - 1) for b in bits for s in (1, -1) for k in (0, 1)}
+
+    def margins(text):
+        own = Counter(grams(text))
+        out = [0.0] * len(bits)
+        for k in (0, 1):
+            n = sum(c for (o, _), c in own.items() if o == k)
+            for b in bits if n else ():
+                gain = sum(c * (math.log((side[b, 1][g] + 0.5) / total[b, 1, k]) - math.log((side[b, -1][g] + 0.5) / total[b, -1, k])) for g, c in own.items() if g[0] == k)
+                out[b] += gain / n * language.SATURATION * n / (language.SATURATION + n) / len(language.ORDERS)
+        return out
+
+    right, seen = defaultdict(Counter), Counter()
+    for r in taught:
+        seen[r[2]] += 1
+        right[r[2]].update(b for b, m in enumerate(margins(r[1])) if m * code[names.index(r[2])][b] > 0)
+    trust = {x: [(right[x][b] + 1) / (seen[x] + 2) for b in bits] for x in names}
+    trust = {x: [len(bits) * v / sum(t) for v in t] for x, t in trust.items()}
+    out = {}
+    for r in rows:
+        if not r[1] or not any(map(str.isalpha, r[1])):
+            out[r[0]] = ("und", 0.0)
+            continue
+        m = margins(r[1])
+        loss = [sum(math.log1p(math.exp(-v * c)) * t for v, c, t in zip(m, word, trust[x])) for x, word in zip(names, code)]
+        out[r[0]] = (names[loss.index(min(loss))], 1 / sum(math.exp(min(loss) - x) for x in loss))
+    return out
+
+
+def test_language_query_against_plain_counting(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, SF).collect()}
+    want = plain_languages(rows)
+    assert got.keys() == want.keys()
+    for i, (name, score) in want.items():
+        assert got[i]["lang_pred"] == name and math.isclose(got[i]["score"], score, rel_tol=1e-3, abs_tol=1e-3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    held = [r for r in rows if r[2] and got[r[0]]["held_out"]]
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.97 * len(held)
+
+
+def test_quality_query_against_a_plain_sum(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op5_quality_cotraining(spark, SF).collect()}
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").collect()
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r in rows[:60]:
+        text = r["text"] or ""
+        own = words(text, ALNUM_WORDS)
+        data = text.encode()
+        at = lambda w: int(Words(pa.array([w]), ALNUM).hash[0])
+        bins = [
+            sum(b < 128 and not chr(b).isalnum() and chr(b) not in " \t\n\x0b\x0c\r" for b in data) / max(len(data), 1) * 4 * quality.BINS, sum(65 <= b <= 90 for b in data) / max(len(data), 1) * 2 * quality.BINS,
+            len(set(own)) / max(len(own), 1) * quality.BINS, sum(len(w.encode()) for w in own) / max(len(own), 1) * 2, sum(48 <= b <= 57 for b in data) / max(len(data), 1) * 4 * quality.BINS,
+        ]
+        seen = {at(w) >> 64 - quality.WORD_BITS for w in own} | {(1 << quality.WORD_BITS) + k * quality.BINS + min(int(x), quality.BINS - 1) for k, x in enumerate(bins)}
+        odds = max(-20, min(20, sum(model.text[f] for f in seen) / len(seen) ** 0.25 + model.text[-1]))
+        a, b = model.text_curve
+        assert math.isclose(got[r["doc_id"]]["text_score"], 1 / (1 + math.exp(-(a * odds + b))), abs_tol=1e-9)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Half of the labels teach, the others tell: pseudo-labels flow in all rounds, and the
+    combination is no worse than either view."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    model = quality.train(docs, labels.where(half))
+    given = [a + b for a, b in model.exchanged]
+    assert len(given) == quality.ROUNDS and all(x < y for x, y in zip([0, *given], given))
+    out = quality.score(docs, model).join(labels.where(~half), "doc_id").selectExpr("quality_score", "text_score", "meta_score", "quality = 1 AND toxic = 0 AS good").toPandas()
+
+    def ranked(column):
+        rank = out[column].rank()
+        n = out["good"].sum()
+        return (rank[out["good"]].sum() - n * (n + 1) / 2) / (n * (len(out) - n))
+
+    both, text, meta = (ranked(c) for c in ("quality_score", "text_score", "meta_score"))
+    assert both >= max(text, meta) - 0.005 and both > 0.9
+    toxic = docs.where("text rlike '(?i)(moron|idiot|scum|worthless).*(moron|idiot|scum|worthless)'")
+    found = quality.score(toxic, model).selectExpr("avg(CAST(quality_score < 0.5 AS int))").first()[0]
+    assert found > 0.75
+
+
+def test_license_query_against_plain_cosines(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op8_license_scan(spark, SF).collect()}
+    assert got.keys() == {r["doc_id"] for r in rows}
+    lines = [words(x, ALNUM_WORDS) for r in rows for x in (r["text"] or "").split("\n")]
+    lines = [x for x in lines if x]
+    held = Counter(w for x in lines for w in set(x))
+    notices = {n: ts for n, ts in licenses.NOTICES.items()}
+    vocabulary = {w for ts in [*notices.values(), *licenses.full_texts().values()] for t in ts for w in words(t, ALNUM_WORDS)}
+    idf = {w: math.log((len(lines) + 1) / (held[w] + 1)) + 1 for w in vocabulary}
+    rare = math.log(len(lines) + 1) + 1
+    for r in rows:
+        text, best = r["text"] or "", 0.0
+        parts = [" ".join(x) for x in (words(y, ALNUM_WORDS) for y in text.split("\n")) if x]
+        own = words(text, ALNUM_WORDS)
+        for ts in notices.values():
+            for t in ts:
+                w = words(t, ALNUM_WORDS)
+                uncommon = set(w) & {"license", "licensed", "rights", "spdx", "domain", "cc", "governed", "redistribute"}
+                for i in range(len(own) - len(w) + 1):
+                    if uncommon & set(own[i : i + len(w)]):
+                        best = max(best, reference_cosine(" ".join(own[i : i + len(w)]), t, idf, rare))
+                best = max([best, *(reference_cosine(p, t, idf, rare) for p in parts if uncommon & set(p.split()))])
+        score = got[r["doc_id"]]["own_score"]
+        assert (score is None and best < licenses.THRESHOLD + 1e-9) or got[r["doc_id"]]["is_license_file"] or math.isclose(score, best, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("scan", ["language", "near", "tokens", "lm", "fingerprints", "licenses", "quality"])
+def test_texts_of_several_slices(spark, scan):
+    """Texts far longer than a slice, beside short ones, give what they give alone."""
+    rng = random.Random(12)
+    long_ = " ".join(f"w{rng.randrange(4000)}" for _ in range(260_000))
+    rows = [(1, "the cat sat on the mat", "en"), (2, long_, "en"), (3, long_ + " more", "de"), (4, None, None), (5, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    assert len(long_) > 1 << 20
+    if scan == "language":
+        assert language.predict(docs, language.train(docs)).count() == 5
+    elif scan == "near":
+        got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_dups.near_duplicates(docs).collect()}
+        assert got == {1: (1, 2), 2: (2, len(shingles(long_, 5))), 3: (2, len(shingles(long_, 5)) + 1), 4: (4, 0), 5: (5, 0)}
+    elif scan == "tokens":
+        from tokenizers import Tokenizer
+
+        plain = Tokenizer.from_file(queries.tokenizer_path())
+        got = {r["doc_id"]: r["value"] for r in token_files.token_files(docs, queries.tokenizer_path()).collect()}
+        assert got == {i: zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, _ in rows}
+    elif scan == "lm":
+        got = {r["doc_id"]: r for r in mixing_lm.score(docs, F.col("doc_id") != 3).collect()}
+        assert got[3]["n_tokens"] == 260_002 and got[3]["n_known"] == 260_001 and got[4]["n_tokens"] == 1
+    elif scan == "fingerprints":
+        got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+        assert len(got) == 5 and got[4] == got[5]
+    elif scan == "licenses":
+        assert licenses.licensed(docs, F.lit("a/b")).count() == 5
+    else:
+        table = docs.withColumn("source", F.lit(None).cast("string"))
+        model = quality.train(table, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+        assert quality.score(table, model).count() == 5
