@@ -461,7 +461,7 @@ def _small_lm(names: list[bytes]) -> mixing_lm.Model:
 def _lm_scores(model, texts):
     tokens = mixing_lm.Tokens(pa.array(texts, pa.binary()), model.codes)
     word, space, _ = model.costs(tokens)
-    return np.add.reduceat(space + model.given(tokens, word), tokens.first[:-1])
+    return np.add.reduceat(space + word, tokens.first[:-1])
 
 
 def _mixed_plainly(decisions, rate):
@@ -502,7 +502,9 @@ def test_lm_is_a_distribution():
                 yield [w * x * sign for w, x in zip(model.weights[spelled][gate], [float(made.odds[k]), *((x >> 2) / 16 for x in found)])]
 
         n = len(tokens.symbol)
-        made = tokens.decisions(codes, 0, n)
+        right = [bool(codes.level[b] and codes.follow[b] == x) for b, x in zip(tokens.before.tolist(), tokens.next.tolist())]
+        made = tokens.decisions(codes, 0, n, np.array(right))
+        assert len(made.bit) == sum(1 if r else len(codes.words.bit[codes.words.first[x] : codes.words.first[x + 1]]) + 1 for r, x in zip(right, tokens.symbol))
         costs = _mixed_plainly(plain(made, False), mixing_lm.RATE)
         word, space = [0.0] * n, [0.0] * n
         for owner, sort, c in zip(made.owner.tolist(), made.sort.tolist(), costs):
@@ -512,19 +514,19 @@ def test_lm_is_a_distribution():
         for owner, x in zip(letters.owner.tolist(), plain(letters, True)):
             piece[owner] += _mixed_plainly([x], 0)[0]
         for at, which in zip(tokens.spelled.tolist(), tokens.spelled_as.tolist()):
-            word[at] += piece[which]
+            word[at] += 0 if right[at] else piece[which]
         for at, which in zip(tokens.spaced.tolist(), tokens.spaced_as.tolist()):
             space[at] += piece[which]
         ahead, last = [], 0
         for k in range(n):
             before = int(tokens.before[k])
             if codes.level[before]:
-                right = bool(codes.follow[before] == tokens.next[k])
+                sign = 2 * right[k] - 1
                 a, b = ([1.0, 0.0], [1.0, -0.5], [1.0, 1.5])[last]
-                ahead.append((k, right, [(2 * right - 1) * a * codes.sure[codes.level[before]], (2 * right - 1) * b]))
-                last = 1 + right
-        for (k, right, _), c in zip(ahead, _mixed_plainly([x for _, _, x in ahead], mixing_lm.NEXT_RATE)):
-            word[k] = c if right else c + word[k]
+                ahead.append((k, [sign * a * codes.sure[codes.level[before]], sign * b]))
+                last = 1 + right[k]
+        for (k, _), c in zip(ahead, _mixed_plainly([x for _, x in ahead], mixing_lm.NEXT_RATE)):
+            word[k] += c
         assert math.isclose(sum(word) + sum(space), score, rel_tol=1e-4)
 
 
