@@ -32,6 +32,8 @@ IDF_BAND = (math.log(10), math.log(4000))
 #: weighs as one text: there are at most 1 / LARGE of these groups.
 MINIMA, LARGE = 4, 1e-3
 _ONE = 1 << 30
+#: Ranges of ids at most, whose bounds the driver holds; a larger corpus has larger ranges.
+MOST_RANGES = 16_384
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +186,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     sent = spark.sparkContext.broadcast(lexicon(rows, "text", copies=False))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = partitions(spark, total)
+    parts = min(partitions(spark, total), MOST_RANGES)
     cuts = sorted(set(rows.stat.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
 
     @F.pandas_udf("long")

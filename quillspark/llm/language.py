@@ -23,6 +23,8 @@ from .textkit import slices, strings
 ORDERS = (2, 4)
 BUCKETS = 1 << 15
 CHUNK = 1 << 12
+#: Parts in which the tasks' counts are merged first.
+SALTS = 64
 #: Number of n-grams beyond which more of them add little certainty.
 SATURATION = 60.0
 #: Labelled rows on which the bits' accuracies are measured, about; the counts use all rows.
@@ -108,10 +110,13 @@ def _has_letter(text: str | None) -> bool:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the languages in ``rows``; rows with a null text or language teach nothing."""
+    """A model of the languages in ``rows``; rows with a null text or language teach nothing, repeated
+    rows teach once each, and without rows no language is known."""
     labelled = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         tables: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             found, offsets = grams(batch.column("text"))
@@ -122,24 +127,28 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 for k, (order, index) in enumerate(zip(ORDERS, found)):
                     own = [index[a : max(b - order + 1, a)] for a, b in spans]
                     table[k] += np.bincount(np.concatenate(own), minlength=BUCKETS)
+        salt = TaskContext.get().partitionId() % SALTS
         for lang, table in tables.items():
-            flat = table.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(flat)), pa.array(np.arange(len(flat))), pa.array([x.astype("<i8").tobytes() for x in flat], pa.binary())], ["lang", "chunk", "n"])
+            for chunk, part in enumerate(table.reshape(-1, CHUNK)):
+                yield _counted((lang, chunk, salt), part)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
         for batch in batches:
-            for lang, chunk, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "n"))):
-                if key != (lang, chunk):
+            for lang, chunk, salt, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "salt", "n"))):
+                if key is None or key[:2] != (lang, chunk):
                     if key:
                         yield _counted(key, total)
-                    key, total = (lang, chunk), np.zeros(CHUNK, np.int64)
+                    key, total = (lang, chunk, salt), np.zeros(CHUNK, np.int64)
                 total += np.frombuffer(n, "<i8")
         if key:
             yield _counted(key, total)
 
-    schema = "lang string, chunk long, n binary"
-    summed = labelled.mapInArrow(count, schema).repartition("lang", "chunk").sortWithinPartitions("lang", "chunk").mapInArrow(add, schema)
+    # Every task has counts for the same few keys, so they meet in SALTS parts first.
+    schema = "lang string, chunk long, salt long, n binary"
+    summed = labelled.mapInArrow(count, schema)
+    for keys in (("lang", "chunk", "salt"), ("lang", "chunk")):
+        summed = summed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, schema)
     tables: dict[str, np.ndarray] = {}
     for r in summed.collect():
         tables.setdefault(r["lang"], np.zeros((len(ORDERS) * BUCKETS // CHUNK, CHUNK)))[r["chunk"]] = np.frombuffer(bytes(r["n"]), "<i8")
@@ -161,8 +170,9 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return model
 
 
-def _counted(key: tuple[str, int], total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["lang", "chunk", "n"])
+def _counted(key: tuple[str, int, int], total: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([key[2]], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "salt", "n"])
 
 
 def _trust(model: Model, labelled: DataFrame) -> np.ndarray:
@@ -193,7 +203,8 @@ def _trust(model: Model, labelled: DataFrame) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (0 to 1) and ``lang_ambiguous``; columns of
     these names are replaced. A text that is null or has no letter is "und" with score 0, and so
-    is every text if the model knows no language. Only the text is looked at."""
+    is every text if the model knows no language. Only the text is looked at; repeated rows are
+    judged one by one, alike, and other columns are kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
 

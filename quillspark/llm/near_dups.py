@@ -179,12 +179,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = components(links.unionByName(shared))
     at = members.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", "c", F.coalesce("label", "sid").alias("label"))
-    apart = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    tasks = written(_open_pairs(at.join(apart, "key"), sets, p), "nd-tasks")
-    more = written(_confirmed_tasks(tasks, texts, p), "nd-links")
+    apart = written(at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c")).where("lo < hi").select("key", "c"), "nd-apart")
+    few, work = apart.agg(F.count("*"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((work or 0) // PAIRS))
+    open_ = apart.select("key")
+    tasks = written(_open_pairs(at.join(F.broadcast(open_) if few <= BROADCAST_KEYS else open_, "key"), sets, p, parts), "nd-tasks")
+    more = written(_confirmed_tasks(tasks, texts, p, parts), "nd-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more).unionByName(shared))
-    release(members, tasks, texts, close)
+    release(members, apart, tasks, texts, close)
 
     named = sets.select("digest", "sid", "id").join(labels, F.col("sid") == F.col("node"), "left").select("digest", "id", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -221,6 +224,10 @@ def _texts(need: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_
 
 #: Members of a bucket that are compared in one step, on average.
 BLOCK = 2048
+#: Pairs that a task compares, on average: tasks follow the work, which bytes don't tell.
+PAIRS = 100_000_000
+#: Keys of eight bytes up to this many are sent to all tasks; they are counted first.
+BROADCAST_KEYS = 200_000
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -240,7 +247,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(rest: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+def _open_pairs(rest: DataFrame, sets: DataFrame, p: Params, parts: int) -> DataFrame:
     """Pairs that a key holds, lie in different components and may be linked: ``(task, sids,
     pairs)``, a row for each block of a bucket against another. A bucket of c members is dealt
     to c / BLOCK blocks by hash, and each two of them meet once. A pair that shares several
@@ -298,11 +305,11 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     dealt = dealt.withColumn("task", F.xxhash64("key", "low", "high"))
     dealt = dealt.join(sets.select("sid", F.col("n_shingles").alias("n"), "sig"), "sid")
-    by_task = dealt.select("task", "key", "low", "high", "block", "sid", "label", "n", "sig").repartition("task").sortWithinPartitions("task")
+    by_task = dealt.select("task", "key", "low", "high", "block", "sid", "label", "n", "sig").repartition(parts, "task").sortWithinPartitions("task")
     return by_task.mapInArrow(run, "task long, sids array<long>, pairs binary")
 
 
-def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params, parts: int) -> DataFrame:
     """Links among the pairs of ``tasks``; each text is read once for each task it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +331,7 @@ def _confirmed_tasks(tasks: DataFrame, texts: DataFrame, p: Params) -> DataFrame
 
     wanted = tasks.select("task", F.explode("sids").alias("sid")).join(texts, "sid").select("task", "sid", "text", F.lit(None).cast("binary").alias("pairs"), F.lit(None).cast("array<long>").alias("sids"))
     lists = tasks.select("task", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("string").alias("text"), "pairs", "sids")
-    return wanted.unionByName(lists).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return wanted.unionByName(lists).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def _task_sets(texts: pa.Table, n: int) -> list[np.ndarray]:
