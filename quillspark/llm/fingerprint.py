@@ -11,6 +11,7 @@ subsets that hold a term of either text.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from collections.abc import Iterator
@@ -153,9 +154,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def as_text(flat: np.ndarray) -> list[str]:
+    """Three bytes of each hash, in base 64."""
     data = flat.astype("<u4").view(np.uint8).reshape(len(flat), -1, 4)[:, :, :3].tobytes()
     size = SALTS * LEVELS * 3
-    return [data[i * size : (i + 1) * size].hex() for i in range(len(flat))]
+    return [base64.b64encode(data[i * size : (i + 1) * size]).decode() for i in range(len(flat))]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: np.ndarray | None = None) -> DataFrame:
