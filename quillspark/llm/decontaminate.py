@@ -23,7 +23,6 @@ SHARD_BYTES = 16 << 20
 FRESH = ("bench_words", "bench_hits", "bench_items", "bench_spans")
 
 
-
 class WindowSet:
     """Windows of benchmark items as sorted arrays: the hash of each, and where its first word
     begins in the items' words, which stand in one buffer with a blank after each."""
@@ -91,39 +90,6 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [tuple(r) for r in part.collect()]
 
 
-def scan(self, words: Words) -> Iterator[tuple[int, int, int, set[str]]]:
-        """Verified occurrences: row, first word, number of words, items."""
-        total = len(words.hash)
-        last = np.repeat(words.first[1:], np.diff(words.first))
-        running = np.zeros(total, np.uint64)
-        for k, p in enumerate(powers(_Q, max(self.by_length, default=0) + 1)[: max(self.by_length, default=0)]):
-            running[: max(total - k, 0)] += words.hash[k:] * p
-            size = k + 1
-            if size not in self.by_length or total < size:
-                continue
-            own = mix(running[: total - k] + np.uint64(size))
-            maybe = np.flatnonzero(self.coarse[size][own >> np.uint64(44)])
-            maybe = maybe[maybe + size <= last[maybe]]
-            known = self.sorted[size]
-            at = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
-            hits = maybe[known[at] == own[maybe]]
-            rows = np.searchsorted(words.first, hits, side="right") - 1
-            for i, row in zip(hits.tolist(), rows.tolist()):
-                text = b" ".join(words.word(j) for j in range(i, i + size))
-                for known_text, owners in self.by_length[size][int(own[i])]:
-                    if known_text == text:
-                        yield row, i, size, owners
-
-
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    shards = size // SHARD_BYTES + 1
-    for k in range(shards):
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
-        yield [tuple(r) for r in part.collect()]
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", n: int = 13) -> DataFrame:
     """``docs`` with ``bench_words`` (long), ``bench_hits`` (long: words inside an occurrence),
     ``bench_items`` (sorted array of item ids as strings) and ``bench_spans`` (array of
