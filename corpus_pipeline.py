@@ -42,14 +42,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = near_dups.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
     kept = written(found.groupBy("kept_id").agg(F.count("*").alias("rows")), "kept")
-    own = docs.join(kept.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    # Positions, as names may repeat those used here.
+    own = docs.toDF(*(f"own_{k}" for k in range(len(docs.columns))))
+    key, text = (F.col(f"own_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    out = own.join(kept.select("kept_id"), key.eqNullSafe(F.col("kept_id")), "left_semi")
     again = kept.where("rows > 1 AND kept_id IS NOT NULL").select("kept_id")
-    if again.isEmpty():
-        return own
-    several = own.join(again, own["doc_id"] == F.col("kept_id"), "left_semi")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = several.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNotNull(), F.col("text"))).alias("row")).select("row.*")
-    return own.join(again, own["doc_id"] == F.col("kept_id"), "left_anti").unionByName(one)
+    if not again.isEmpty():
+        several = out.join(again, key == F.col("kept_id"), "left_semi")
+        least = F.min_by(F.struct(*own.columns), F.struct(text.isNotNull(), text))
+        one = several.groupBy(key).agg(least.alias("row")).select("row.*")
+        out = out.join(again, key == F.col("kept_id"), "left_anti").unionByName(one)
+    return out.toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
