@@ -21,8 +21,10 @@ What follows each word of the training texts is counted over all of them and hel
 row for each distinct word, which grows with the corpus; texts meet it by a join on the words that
 are not in the code. The code and the node contexts are of a constant size and sent to all tasks: of
 COMMON words, or bytes, and nodes there are only so many, so further texts make them surer but not
-more. Their counts cover all training texts too; the gates' weights are learned on one text in
-WEIGH, each decision against the counts without itself.
+more. Their counts cover all training texts too, and the gates' weights are learned on every decision
+of all training texts, each against the counts without itself. For that, decisions are not made
+text by text: how often each symbol came in each context is counted once, and those that pass a node
+of the code together are one decision with a number.
 
 Beside it stands a word-unigram base with add-one smoothing from exact counts.
 """
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import release, written
-from .textkit import SPACED, Words, binaries, hashes, pieces_of, same_bytes, slices
+from .textkit import SPACED, Words, binaries, hashes, mix, pieces_of, same_bytes, slices
 
 #: log2 of the slots of the tables: nodes with a common word, with two bytes, with three bytes.
 SLOTS = (21, 18, 20)
@@ -66,11 +68,15 @@ COMMON = 128
 #: Sorts of decisions on a token: of a word's code, of white space; 4 gates each. A spelled byte's has 16.
 WORD, SPACE = range(2)
 END = 256
-#: One training text in so many helps to learn the weights.
-WEIGH = 32
 WEIGHT_ROUNDS = 3
-#: Merges of the tables' counts happen in two steps, in so many parts first.
+#: Counts of so many symbols in their contexts are merged at once.
+HELD_SYMBOLS = 2_000_000
+#: Merges of these counts happen in two steps, in so many parts first.
 SALTS = 64
+#: Symbols in common contexts have a part for each, those of spelled pieces so many; tasks that merge parts.
+SPELLED_PARTS, MERGES = 64, 16
+#: Contexts of spelled pieces whose decisions are laid out at once.
+LANES = 1 << 10
 _EDGE = np.float32(12.0)
 _SPACE_NODE, _BASE = np.uint32(0xB5297A4D), np.uint32(0x3C6EF372)
 #: What follows is told by so many bits of its hash; the end and a text's start have marks.
@@ -135,6 +141,40 @@ def _code(*tree: np.ndarray) -> Code:
     return code
 
 
+class Nodes:
+    """The nodes of a code, of which symbols in like contexts pass many together: ``odds``, ``group``
+    and ``place`` are what a path has there."""
+
+    def __init__(self, code: Code):
+        above, side, self.odds = code.tree
+        self.symbols = n = len(self.odds) + 1
+        own = np.flatnonzero(above >= 0)
+        # What stands on either side of each: a symbol, or a node (numbered on from the symbols).
+        self.below = np.zeros((n - 1, 2), np.int64)
+        self.below[above[own] - n, side[own]] = own
+        self.group, self.place = np.arange(n - 1).astype(np.uint32) * np.uint32(0x9E3779B1), np.ones(n - 1, np.uint8)
+        self.levels = [np.array([n - 2])]
+        while len(self.levels[-1]):
+            at, bit = np.nonzero(self.below[self.levels[-1]] >= n)
+            parent = self.levels[-1][at]
+            node = self.below[parent, bit] - n
+            if len(self.levels) % LINE:
+                self.group[node], self.place[node] = self.group[parent], 2 * self.place[parent] + bit
+            self.levels.append(node)
+
+    def passed(self, symbol: np.ndarray, lane: np.ndarray, times: np.ndarray, lanes: int) -> tuple[np.ndarray, ...]:
+        """Of symbols that came so often in the context of each lane: the decisions' nodes, lanes
+        and bits, and how often each was made."""
+        total = np.zeros((2 * self.symbols - 1, lanes), np.int64)
+        total[symbol, lane] = times
+        for node in reversed(self.levels):
+            total[node + self.symbols] = total[self.below[node, 0]] + total[self.below[node, 1]]
+        sides = [total[self.below[:, bit]] for bit in range(2)]
+        found = [np.nonzero(x) for x in sides]
+        bit = np.repeat(np.arange(2, dtype=np.uint8), [len(node) for node, _ in found])
+        return *(np.concatenate(x) for x in zip(*found)), bit, np.concatenate([x[at] for x, at in zip(sides, found)])
+
+
 def _scatter(x: np.ndarray) -> np.ndarray:
     """Mixes the bits of 32-bit values in place."""
     x ^= x >> np.uint32(15)
@@ -241,6 +281,14 @@ def _decided(codes: Codes, symbol: np.ndarray, common: np.ndarray, odd: np.ndarr
     return Decisions(size, sort, packed.astype(np.uint8) & np.uint8(1), odds, (slots,))
 
 
+def _behind(held: list[np.ndarray], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of two and of three bytes, of pieces that are words or white space."""
+    salt = np.where(space, 0x1234567, 0x7654321).astype(np.uint32)
+    two = held[0] | held[1] << np.uint32(10)
+    three = _scatter((two | held[2] << np.uint32(20)) + salt * np.uint32(3))
+    return _scatter(two ^ salt), three
+
+
 class Tokens:
     """Tokens of a slice of rows (rows are first[r]:first[r + 1]), their contexts, and the distinct
     pieces that are spelled with the token of each use."""
@@ -310,8 +358,9 @@ class Tokens:
         """Of the tokens in [a, b): of the word's code where it is not given, then of the white space."""
         return _decided(codes, self.symbol[a:b], self.common[a:b], self.odd[a:b], None if given is None else given[a:b])
 
-    def letters(self, codes: Codes, a: int, b: int) -> Decisions:
-        """Of the distinct pieces [a, b): their bytes and an end."""
+    def spelling(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of the distinct pieces [a, b): the piece of each byte and end, its symbol, and the three
+        before it in the piece, the last first (0: none, else the symbol and one)."""
         start, size = self.piece_start[a:b], self.piece_end[a:b] - self.piece_start[a:b]
         piece, at = _spread(start, size + 1)
         ends = np.cumsum(size + 1) - 1
@@ -319,7 +368,6 @@ class Tokens:
         at[ends] = 0
         symbol = self.words.buf[at].astype(np.int32) if len(self.words.buf) else np.zeros(len(at), np.int32)
         symbol[ends] = END
-        salt = np.where(self.piece_space[a:b], 0x1234567, 0x7654321).astype(np.uint32)[piece]
         behind, held = symbol.astype(np.uint32) + np.uint32(1), []
         for _ in range(3):
             older = np.zeros(len(behind), np.uint32)
@@ -327,9 +375,12 @@ class Tokens:
             older[begins] = 0
             held.append(older)
             behind = older
-        two = held[0] | held[1] << np.uint32(10)
-        three = _scatter((two | held[2] << np.uint32(20)) + salt * np.uint32(3))
-        two = _scatter(two ^ salt)
+        return piece, symbol, held
+
+    def letters(self, codes: Codes, a: int, b: int) -> Decisions:
+        """Of the distinct pieces [a, b): their bytes and an end."""
+        piece, symbol, held = self.spelling(a, b)
+        two, three = _behind(held, self.piece_space[a:b][piece])
         code = codes.letters
         first = code.first[symbol]
         byte, path = _spread(first, code.first[symbol + 1] - first)
@@ -651,78 +702,191 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Codes,
     return words, codes, total + rows, distinct + (rows > 0), rows
 
 
-def train(docs: DataFrame, codes: Codes, text_col: str = "text") -> Sent:
-    """A model of all rows' texts (null: empty). No rows give a model that knows nothing."""
-    spark = docs.sparkSession
-    sent_codes = spark.sparkContext.broadcast(codes)
-    sizes = [2 << bits for bits in SLOTS]
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's numbers."""
+    each, n = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(each)
+    each = each[order]
+    first = np.flatnonzero(np.diff(each, prepend=-1))
+    return each[first], np.add.reduceat(n[order], first) if len(first) else n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        own = sent_codes.value
-        tables = [np.zeros(size, np.int32) for size in sizes]
-        kinds = len(own.names) + 2
-        held: list[np.ndarray] = []
+def symbols(docs: DataFrame, sent: Broadcast, text_col: str = "text") -> DataFrame:
+    """``(part, salt, names, times)``: how often each symbol came in each context, over all rows'
+    texts. Parts up to COMMON are of the words' code, by the common word before; after its symbols
+    stand usual and unusual white space. The others are of spelled pieces: a name is whether it
+    is white space, the three symbols before (see Tokens.spelling) and the symbol, of nine bits each."""
 
-        def words() -> None:
-            """Tokens with like decisions are counted together."""
-            each, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for at in range(0, len(each), TOKENS):
-                code = each[at : at + TOKENS]
-                symbol, rest = code % kinds, code // kinds
-                note(_decided(own, symbol.astype(np.int32), _scatter((rest >> 1).astype(np.uint32) + _BASE), (rest & 1).astype(bool)), tables[:1], times[at : at + TOKENS])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        def note(made: Decisions, into: list[np.ndarray], times: np.ndarray | None = None) -> None:
-            number = np.int32(1) if times is None else times[made.owner].astype(np.int32)
-            for table, slot in zip(into, made.slots):
-                np.add.at(table, (slot * np.uint32(2) + made.bit).astype(np.int64), number)
+        own = sent.value
+        kinds, salt = len(own.names) + 4, TaskContext.get().partitionId() % SALTS
+        fresh: list[np.ndarray] = []
+        held: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []), ([], [])]
+        spaces = np.zeros(2 * (COMMON + 1), np.int64)
+
+        def put(spelled: int, names: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keys, numbers = held[spelled]
+            keys.append(names)
+            numbers.append(times)
+            if sum(map(len, keys)) > HELD_SYMBOLS:
+                keys[:], numbers[:] = ([x] for x in _summed(keys, numbers))
+                if len(keys[0]) > HELD_SYMBOLS // 2:
+                    yield from out(spelled)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            each = np.unique(np.concatenate(fresh), return_counts=True)
+            fresh.clear()
+            yield from put(0, *each)
+
+        def out(spelled: int) -> Iterator[pa.RecordBatch]:
+            names, times = _summed(*held[spelled])
+            part, names = (COMMON + 1 + _part(names), names) if spelled else (names // kinds, names % kinds)
+            order = np.argsort(part, kind="stable")
+            part, names, times = part[order], names[order], times[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            yield from (_counts_of(int(part[a]), salt, names[a:b], times[a:b]) for a, b in zip(first, [*first[1:], len(part)]))
+            for x in held[spelled]:
+                x.clear()
 
         for batch in slices(batches, "text"):
             tokens = Tokens(batch.column("text"), own)
-            held.append((tokens.rank.astype(np.int64) * 2 + tokens.odd) * kinds + tokens.symbol)
-            if sum(map(len, held)) > 2_000_000:
-                words()
-            times = tokens.uses()
+            fresh.append(tokens.rank.astype(np.int64) * kinds + tokens.symbol)
+            spaces += np.bincount(tokens.rank * 2 + tokens.odd, minlength=len(spaces))
+            if sum(map(len, fresh)) > HELD_SYMBOLS:
+                yield from words()
+            uses = tokens.uses()
             for a, b in tokens.pieces():
-                note(tokens.letters(own, a, b), tables[1:], times[a:b])
-        if held:
-            words()
-        salt = TaskContext.get().partitionId() % SALTS
+                piece, symbol, before = tokens.spelling(a, b)
+                name = tokens.piece_space[a:b][piece].astype(np.int64)
+                for x in (*before[::-1], symbol):
+                    name = name << 9 | x
+                yield from put(1, name, uses[a:b][piece])
+        if fresh:
+            yield from words()
+        came = np.flatnonzero(spaces)
+        yield from put(0, came // 2 * kinds + kinds - 2 + came % 2, spaces[came])
+        for spelled in range(2):
+            if any(map(len, held[spelled][0])):
+                yield from out(spelled)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keys, numbers = None, [], []
+        for batch in batches:
+            for part, salt, names, times in zip(*(batch.column(c).to_pylist() for c in ("part", "salt", "names", "times"))):
+                if key != (part, salt):
+                    if key:
+                        yield _counts_of(*key, *_summed(keys, numbers))
+                    key, keys, numbers = (part, salt), [], []
+                keys.append(np.cumsum(_unpacked(names)))
+                numbers.append(_unpacked(times))
+                if sum(map(len, keys)) > HELD_SYMBOLS:
+                    keys, numbers = ([x] for x in _summed(keys, numbers))
+        if key:
+            yield _counts_of(*key, *_summed(keys, numbers))
+
+    schema = "part int, salt int, names binary, times binary"
+    summed = _text(docs, text_col).mapInArrow(count, schema)
+    summed = summed.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(add, schema).withColumn("salt", F.lit(0))
+    return summed.repartition(MERGES, "part").sortWithinPartitions("part").mapInArrow(add, schema)
+
+
+def _part(names: np.ndarray) -> np.ndarray:
+    """Parts of symbols of spelled pieces, alike for a context's."""
+    return (mix((names >> 9).view(np.uint64)) % np.uint64(SPELLED_PARTS)).astype(np.int64)
+
+
+def _counts_of(part: int, salt: int, names: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array([x], pa.int32()) for x in (part, salt)), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(names, prepend=0), times))], ["part", "salt", "names", "times"]
+    )
+
+
+class Counted:
+    """Decisions of the rows that :func:`symbols` gives."""
+
+    def __init__(self, codes: Codes):
+        self.words, self.letters = Nodes(codes.words), Nodes(codes.letters)
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, Decisions, np.ndarray]]:
+        """Whether of spelled pieces; distinct decisions, and how often each was made."""
+        for batch in batches:
+            for part, names, times in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "times"))):
+                names, times = np.cumsum(_unpacked(names)), _unpacked(times)
+                if part <= COMMON:
+                    yield False, *self._common(part, names, times)
+                else:
+                    lane = np.cumsum(np.diff(names >> 9, prepend=-1) > 0) - 1
+                    cuts = np.searchsorted(lane, np.arange(0, lane[-1] + 1 + LANES, LANES)).tolist()
+                    for a, b in zip(cuts, cuts[1:]):
+                        yield True, *self._spelled(names[a:b], lane[a:b] - lane[a], times[a:b])
+
+    def _common(self, part: int, symbol: np.ndarray, times: np.ndarray) -> tuple[Decisions, np.ndarray]:
+        code = self.words
+        own = symbol < code.symbols
+        node, _, bit, number = code.passed(symbol[own], np.zeros(own.sum(), np.int64), times[own], 1)
+        spaces = (~own).sum()
+        group, place = np.append(code.group[node], np.full(spaces, _SPACE_NODE)), np.append(code.place[node], np.zeros(spaces, np.uint8))
+        sort = np.repeat(np.array([WORD, SPACE], np.uint8), [len(node), spaces])
+        odds = np.append(code.odds[node], np.zeros(spaces, np.float32))
+        slots = _slots(_scatter(np.full(len(sort), part, np.uint32) + _BASE), group, place, SLOTS[0])
+        return Decisions(np.ones(len(sort), np.int64), sort, np.append(bit, (symbol[~own] - code.symbols).astype(np.uint8)), odds, (slots,)), np.append(number, times[~own])
+
+    def _spelled(self, names: np.ndarray, lane: np.ndarray, times: np.ndarray) -> tuple[Decisions, np.ndarray]:
+        code = self.letters
+        node, lane_of, bit, number = code.passed(names & 511, lane, times, int(lane[-1]) + 1)
+        context = names[np.flatnonzero(np.diff(lane, prepend=-1))] >> 9
+        behind = _behind([(context >> k & 511).astype(np.uint32) for k in (0, 9, 18)], context >> 27 > 0)
+        group, place = code.group[node], code.place[node]
+        slots = tuple(_slots(x[lane_of], group, place, bits) for x, bits in zip(behind, SLOTS[1:]))
+        return Decisions(np.ones(len(bit), np.int64), np.zeros(len(bit), np.uint8), bit, code.odds[node], slots), number
+
+
+def train(docs: DataFrame, codes: Codes, text_col: str = "text") -> Sent:
+    """A model of all rows' texts (null: empty). No rows give a model that knows nothing."""
+    spark = docs.sparkSession
+    sent_codes = spark.sparkContext.broadcast(codes)
+    sizes = [2 << bits for bits in SLOTS]
+    met = written(symbols(docs, sent_codes, text_col), "lm-symbols")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(size, np.int64) for size in sizes]
+        for spelled, made, times in Counted(sent_codes.value).of(batches):
+            for table, slot in zip(tables[1:] if spelled else tables, made.slots):
+                np.add.at(table, slot.astype(np.int64) * 2 + made.bit, times)
         for k, table in enumerate(tables):
             for at in range(0, len(table), 2 * CHUNK):
                 part = table[at : at + 2 * CHUNK]
                 if part.any():
-                    yield _chunk((k, at // (2 * CHUNK), salt), _packed(part.astype(np.int64)))
+                    yield _chunk((k, at // (2 * CHUNK)), _packed(part))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, np.zeros(2 * CHUNK, np.int64)
         for batch in batches:
-            for k, chunk, salt, n in zip(*(batch.column(c).to_pylist() for c in ("k", "chunk", "salt", "n"))):
-                if key is None or key[:2] != (k, chunk):
+            for k, chunk, n in zip(*(batch.column(c).to_pylist() for c in ("k", "chunk", "n"))):
+                if key != (k, chunk):
                     if key:
                         yield _chunk(key, _packed(total))
-                    key, total = (k, chunk, salt), np.zeros(2 * CHUNK, np.int64)
+                    key, total = (k, chunk), np.zeros(2 * CHUNK, np.int64)
                 total += _unpacked(n)
         if key:
             yield _chunk(key, _packed(total))
 
-    schema = "k int, chunk int, salt int, n binary"
-    summed = _text(docs, text_col).mapInArrow(count, schema)
-    for keys in (("k", "chunk", "salt"), ("k", "chunk")):
-        summed = summed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, schema)
+    schema = "k int, chunk int, n binary"
+    summed = met.mapInArrow(count, schema).repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(add, schema)
     raw = [np.zeros(size, np.int64) for size in sizes]
     for r in summed.collect():
         raw[r["k"]][r["chunk"] * 2 * CHUNK : (r["chunk"] + 1) * 2 * CHUNK] = _unpacked(bytes(r["n"]))
     tables = [_odds(n[::2], n[1::2]) for n in raw]
     sent = Sent(sent_codes, spark.sparkContext.broadcast(tables), _start_weights())
-    _learn(docs, text_col, sent, spark.sparkContext.broadcast([np.minimum(n, (1 << 31) - 1).astype(np.int32) for n in raw]))
+    _learn(met, sent, spark.sparkContext.broadcast(raw))
+    release(met)
     return sent
 
 
-def _chunk(key: tuple[int, int, int], data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), pa.array([data], pa.binary())], ["k", "chunk", "salt", "n"])
+def _chunk(key: tuple[int, int], data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), pa.array([data], pa.binary())], ["k", "chunk", "n"])
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -740,54 +904,45 @@ def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return odds * np.int16(4) + ((seen > 0).astype(np.int16) + (seen > 6) + (seen > 60))
 
 
-def _learn(docs: DataFrame, text_col: str, sent: Sent, raw: Broadcast) -> None:
-    """Weights of the gates by Newton steps, each decision against the counts without itself."""
-    sample = _text(docs, text_col).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(WEIGH)) == 0)
+def _learn(met: DataFrame, sent: Sent, raw: Broadcast) -> None:
+    """Weights of the gates by Newton steps over all decisions, each against the counts without itself."""
     shapes = [w.shape for w in sent.weights]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = sent.model(), raw.value
         sums = [np.zeros((gates, k + k * k)) for gates, k in shapes]
-
-        def note(made: Decisions, spelled: bool, times: np.ndarray | None = None) -> None:
+        for spelled, made, times in Counted(model.codes).of(batches):
             own = []
             for table, slot in zip(counts[1:] if spelled else counts, made.slots):
                 at = slot.astype(np.int64) * 2
-                zero, one = table[at].astype(np.int64), table[at + 1].astype(np.int64)
-                own.append(_odds(np.maximum(zero - (made.bit == 0), 0), np.maximum(one - made.bit, 0)))
+                own.append(_odds(table[at] - (made.bit == 0), table[at + 1] - made.bit))
             place = tuple(np.arange(len(made.bit)) for _ in own)
             tables = [*[np.zeros(0, np.int16)] * spelled, *own]
             gate, x = Model(model.codes, tables, model.weights).looked_up(Decisions(made.size, made.sort, made.bit, made.odds, place), spelled)
             weights = model.weights[spelled]
             miss = 1 / (1 + np.exp(np.clip((weights[gate].T * x).sum(axis=0), -_EDGE, _EDGE)))
-            number = 1.0 if times is None else times[made.owner]
             gates, k = shapes[spelled]
+            first, second = times * miss, times * miss * (1 - miss)
             for i in range(k):
-                sums[spelled][:, i] += np.bincount(gate, number * miss * x[i], gates)
-                for j in range(k):
-                    sums[spelled][:, k * (i + 1) + j] += np.bincount(gate, number * miss * (1 - miss) * x[i] * x[j], gates)
-
-        for batch in slices(batches, "text"):
-            tokens = Tokens(batch.column("text"), model.codes)
-            for a, b in tokens.runs():
-                note(tokens.decisions(model.codes, a, b), False)
-            times = tokens.uses()
-            for a, b in tokens.pieces():
-                note(tokens.letters(model.codes, a, b), True, times[a:b])
+                sums[spelled][:, i] += np.bincount(gate, first * x[i], gates)
+                for j in range(i, k):
+                    sums[spelled][:, k * (i + 1) + j] += np.bincount(gate, second * x[i] * x[j], gates)
         for spelled, total in enumerate(sums):
+            k = shapes[spelled][1]
+            for i in range(k):
+                for j in range(i):
+                    total[:, k * (i + 1) + j] = total[:, k * (j + 1) + i]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), spelled)), pa.array(np.arange(len(total))), pa.array(total.tolist(), pa.list_(pa.float64()))], ["spelled", "gate", "w"])
 
-    sample = written(sample, "lm-sample")
     width = max(k + k * k for _, k in shapes)
     parts = [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(width)]
     for _ in range(WEIGHT_ROUNDS):
-        for r in sample.mapInArrow(learn, "spelled long, gate long, w array<double>").groupBy("spelled", "gate").agg(*parts).collect():
+        for r in met.mapInArrow(learn, "spelled long, gate long, w array<double>").groupBy("spelled", "gate").agg(*parts).collect():
             # Damped where a gate has seen little.
             weights, k = sent.weights[r["spelled"]], shapes[r["spelled"]][1]
             own = np.array([r[f"w{i}"] for i in range(k + k * k)])
             step = np.linalg.solve(own[k:].reshape(k, k) + 5 * np.eye(k), own[:k])
             weights[r["gate"]] = np.clip(weights[r["gate"]] + np.clip(step, -0.5, 0.5), -0.3, 1.5)
-    release(sample)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

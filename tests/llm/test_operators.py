@@ -561,6 +561,55 @@ def test_lm_counts_what_follows(spark, docs, rows):
     assert sure[0] == 0 and (not tries or math.isclose(sure[24], math.log((hits + 0.5) / 0.5)))
 
 
+def test_lm_weights_are_learned_on_all_training_texts(spark):
+    """Tables and weights against every text's decisions, counted and weighted one at a time."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 4)))
+    texts = [rng.choice([" ", " ", " ", "\n", "  "]).join(word() for _ in range(rng.randint(0, 25))) for _ in range(40)] + [" x\t", "", None]
+    texts += texts[:5]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    codes = mixing_lm.lexicon(docs)[1]
+    sent = mixing_lm.train(docs, codes)
+    assert sent.weights[0].shape == (8, 2) and sent.weights[1].shape == (16, 3)
+    every, count = ([], []), Counter()
+    for text in texts:
+        tokens = mixing_lm.Tokens(pa.array([text], pa.string()), codes)
+        for spelled, made, times in ((0, tokens.decisions(codes, 0, len(tokens.symbol)), None), (1, tokens.letters(codes, 0, len(tokens.piece_start)), tokens.uses())):
+            for k, owner in enumerate(made.owner.tolist()):
+                slots = [(spelled + i, int(slot[k])) for i, slot in enumerate(made.slots)]
+                for _ in range(1 if times is None else int(times[owner])):
+                    every[spelled].append((int(made.sort[k]), int(made.bit[k]), float(made.odds[k]), slots))
+                    count.update((slot, int(made.bit[k])) for slot in slots)
+
+    def told(zero, one):
+        seen = zero + one
+        return max(-160, min(160, round(16 * math.log((one + 0.3) / (zero + 0.3))))), (seen > 0) + (seen > 6) + (seen > 60)
+
+    for k, table in enumerate(sent.tables.value):
+        want = np.zeros(len(table), np.int16)
+        for at in {slot for (which, slot), _ in count if which == k}:
+            odds, known = told(count[(k, at), 0], count[(k, at), 1])
+            want[at] = 4 * odds + known
+        assert np.array_equal(table, want)
+    for spelled, weights in enumerate(mixing_lm._start_weights()):
+        for _ in range(mixing_lm.WEIGHT_ROUNDS):
+            first, second = defaultdict(lambda: 0.0), defaultdict(lambda: 0.0)
+            for sort, bit, odds, slots in every[spelled]:
+                gate, x = sort, [odds]
+                for slot in slots:
+                    own, known = told(count[slot, 0] - (not bit), count[slot, 1] - bit)
+                    gate = 4 * gate + known
+                    x.append(own / 16)
+                x = np.array(x) * (2 * bit - 1)
+                miss = 1 / (1 + math.exp(max(-12, min(12, weights[gate] @ x))))
+                first[gate] += miss * x
+                second[gate] += miss * (1 - miss) * np.outer(x, x)
+            for gate, total in first.items():
+                step = np.linalg.solve(second[gate] + 5 * np.eye(len(total)), total)
+                weights[gate] = np.clip(weights[gate] + np.clip(step, -0.5, 0.5), -0.3, 1.5)
+        assert np.allclose(sent.weights[spelled], weights, atol=1e-4)
+
+
 def test_lm_knows_a_copy_of_a_training_text(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
