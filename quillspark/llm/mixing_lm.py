@@ -56,6 +56,8 @@ TOKENS = 1 << 13
 PACK_BYTES, SCORED_BYTES = 4 << 20, 2 << 20
 #: Counts of so many packs are merged at once, and handed on beyond so many words.
 HELD, HELD_WORDS = 4, 1_000_000
+#: Counts of so many pairs are merged at once.
+HELD_PAIRS = 1_000_000
 RATE = 0.003
 #: The same for decisions on what follows.
 NEXT_RATE = 0.05
@@ -105,19 +107,25 @@ class Code:
             weights.append(pair)
             inner.append((sum(pair), fresh))
         zero, one = np.array(weights, np.float64).reshape(-1, 2).T
-        self._lay(above.astype(np.int32), side, np.log(one / zero).astype(np.float32))
+        self.tree = above.astype(np.int32), side, np.log(one / zero).astype(np.float32)
 
     def __reduce__(self):
         return _code, self.tree
 
+    def __getattr__(self, name: str) -> np.ndarray:
+        # Paths are several times larger than the tree: laid where one is first asked for.
+        if name not in ("first", "bit", "odds", "group", "place", "packed"):
+            raise AttributeError(name)
+        self._lay(*self.tree)
+        return self.__dict__[name]
+
     def _lay(self, above: np.ndarray, side: np.ndarray, odds: np.ndarray) -> None:
-        self.tree = above, side, odds
         n = len(odds) + 1
-        paths, at = [], np.arange(n)
+        paths, at, size = [], np.arange(n, dtype=np.int32), np.full(n, -1)
         while (at >= 0).any():
             paths.append(at)
-            at = np.where(at >= 0, above[at], -1)
-        size = (np.array(paths) >= 0).sum(axis=0) - 1
+            size += at >= 0
+            at = np.where(at >= 0, above[at], np.int32(-1))
         self.first = np.concatenate([[0], np.cumsum(size)])
         node, self.bit = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1], np.uint8)
         for k in range(len(paths) - 1):
@@ -135,9 +143,9 @@ class Code:
 
 
 def _code(*tree: np.ndarray) -> Code:
-    """From what is sent: paths are several times larger than the tree."""
+    """From what is sent."""
     code = Code.__new__(Code)
-    code._lay(*tree)
+    code.tree = tree
     return code
 
 
@@ -615,6 +623,14 @@ def pairs(docs: DataFrame, text_col: str = "text", common: np.ndarray | None = N
     skip = np.sort(common if common is not None else np.zeros(0, np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            every = held[0]
+            for k in range(0, len(every[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in every], ["name", "after", "n"])
+            held.clear()
+
         for batch in slices(batches, "text", PACK_BYTES):
             words = Words(batch.column("text"), SPACED)
             n, rows = len(words.hash), batch.num_rows
@@ -633,16 +649,34 @@ def pairs(docs: DataFrame, text_col: str = "text", common: np.ndarray | None = N
             both, times = np.unique((before * kinds + token)[told[before]], return_counts=True)
             name = np.append(hashed, _START)
             after = np.append((hashed.view(np.uint64) >> np.uint64(64 - NEXT_BITS)).astype(np.int64), _END)
-            for k in range(0, len(both), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(name[both[part] // kinds]), pa.array(after[both[part] % kinds]), pa.array(times[part])], ["name", "after", "n"])
+            held.append((name[both // kinds], after[both % kinds], times))
+            if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                held[:] = [_merged(held)]
+                if len(held[0][0]) > HELD_PAIRS // 2:
+                    yield from out()
+        if held:
+            held[:] = [_merged(held)]
+            yield from out()
 
-    every = _text(docs, text_col).mapInArrow(count, "name long, after long, n long").groupBy("name", "after").agg(F.sum("n").alias("n"))
+    # Dealt out as they come: few pairs of one task are alike once merged, and maps of them fill an executor's heap.
+    every = _text(docs, text_col).mapInArrow(count, "name long, after long, n long").repartition("name", "after").groupBy("name", "after").agg(F.sum("n").alias("n"))
     # Beyond 2 ** 27 a count in ``top`` is held for that.
     one = F.shiftleft(F.least("n", F.lit((1 << 27) - 1).cast("long")), NEXT_BITS) + F.col("after")
     return every.select("name", "n", one.alias("top")).groupBy("name").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Pairs and their counts, those of equal pairs summed. Pairs are ordered by a hash of both and
+    told apart by themselves; of one hash, a pair may stay in several parts."""
+    name, after, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(name.view(np.uint64) ^ after.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    name, after, n = name[order], after[order], n[order]
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (after[1:] != after[:-1])
+    first = np.flatnonzero(fresh)
+    return name[first], after[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _level(times: str, total: str) -> str:
     """How sure it is that what came ``times`` of ``total`` times comes again: 1 to 24, 0 for none."""
     times, total = f"({times})", f"({total})"

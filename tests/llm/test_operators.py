@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -561,6 +562,39 @@ def test_lm_counts_what_follows(spark, docs, rows):
     assert sure[0] == 0 and (not tries or math.isclose(sure[24], math.log((hits + 0.5) / 0.5)))
 
 
+def test_lm_pairs_are_merged_before_they_reach_the_heap(spark, docs, monkeypatch):
+    """Executors' heaps get pairs that tasks have merged, and only deal them out; the counts are those of unmerged ones."""
+    follows = mixing_lm.pairs(docs)
+    plan = follows._jdf.queryExecution().executedPlan().toString()
+    mapped = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "MapInArrow" in mapped and "HashAggregate" not in mapped
+    want = sorted(map(tuple, follows.collect()))
+    for held in (0, 50, 2000):
+        monkeypatch.setattr(mixing_lm, "HELD_PAIRS", held)
+        assert sorted(map(tuple, mixing_lm.pairs(docs).collect())) == want
+    rng = random.Random(12)
+    parts = [tuple(np.array([rng.choice(c) for _ in range(n)], np.int64) for c in ([-5, 0, 7], [1, 2], [1, 3])) for n in (40, 1, 0, 25)]
+    plain = Counter()
+    for a, b, n in ((x, y, z) for part in parts for x, y, z in zip(*(c.tolist() for c in part))):
+        plain[a, b] += n
+    name, after, n = mixing_lm._merged(parts)
+    assert len(name) == len(plain) and dict(zip(zip(name.tolist(), after.tolist()), n.tolist())) == plain
+
+
+def test_lm_lays_paths_only_where_texts_are_scored():
+    """Counting symbols and learning weights take a code's tree; its paths are many times larger."""
+    codes = _small_lm([b"w1", b"w2", b"w3"]).codes
+    sent = pickle.loads(pickle.dumps(codes))
+    tokens = mixing_lm.Tokens(pa.array([b"w1 w2 zz", None, b" w3"], pa.binary()), sent)
+    assert sum(len(tokens.spelling(a, b)[1]) for a, b in tokens.pieces()) > 0
+    mixing_lm.Counted(sent)
+    assert vars(sent.words).keys() == vars(sent.letters).keys() == {"tree"}
+    for own, other in ((codes.words, sent.words), (codes.letters, sent.letters)):
+        assert all(np.array_equal(getattr(own, c), getattr(other, c)) for c in ("first", "bit", "odds", "group", "place", "packed"))
+    with pytest.raises(AttributeError):
+        sent.words.paths
+
+
 def test_lm_weights_are_learned_on_all_training_texts(spark):
     """Tables and weights against every text's decisions, counted and weighted one at a time."""
     rng = random.Random(10)
